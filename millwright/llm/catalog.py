@@ -7,6 +7,28 @@ def _docs(spark, sf_dir, *columns):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_quality_classifier(spark, sf_dir):
+    from millwright.llm.quality_classifier import classify
+
+    return classify(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op4_toxicity(spark, sf_dir):
+    from millwright.llm.toxicity import classify
+
+    return classify(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op9_quality_rules(spark, sf_dir):
+    from millwright.llm.quality_rules import COUNTS, rule_quality
+
+    return rule_quality(_docs(spark, sf_dir)).select("doc_id", *COUNTS, "base_failed", "kept", "p_quality")
+
+
 def op10_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -18,7 +40,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op10_token_counts,)}
+    return {f.__name__: f for f in (op3_quality_classifier, op4_toxicity, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql():
