@@ -39,6 +39,20 @@ def op4_toxicity(spark, sf_dir):
     return classify(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op6_document_fingerprints(spark, sf_dir):
+    from millwright.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(_docs(spark, sf_dir))
+
+
+def op7_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from millwright.llm.byte_bpe import encode_decode
+
+    return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark, sf_dir):
     from millwright.llm.quality_rules import COUNTS, rule_quality
 
@@ -56,7 +70,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op6_document_fingerprints, op7_byte_bpe, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql():
