@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.llm.batches import pieces
+from millwright.llm.store import cut
 
 BLOCK_BYTES = 12 << 20
 
@@ -89,7 +90,7 @@ BLOCKS = T.StructType(
         T.StructField("shard", T.IntegerType()),  # of the words; null in a document's row
         T.StructField("words", T.ArrayType(T.StringType())),
         T.StructField("doc_id", T.LongType()),
-        T.StructField("n_words", T.IntegerType()),  # distinct words of the block
+        T.StructField("check", T.LongType()),  # of the block's distinct words and their numbers
         T.StructField("places", T.BinaryType()),
     ]
 )
@@ -120,33 +121,38 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
                 places = new[number]
                 block = (part << 32) | count
                 count += 1
+                check = zlib.crc32("\0".join(distinct[i] for i in by_count).encode("utf-8", "surrogatepass"))
                 sizes = np.bincount(shard, minlength=shards)
                 at, rows = 0, []
                 for s in np.flatnonzero(sizes):
                     own = by_shard[at : at + sizes[s]]
                     at += sizes[s]
-                    rows.append((block, int(s), [distinct[i] for i in own], None, None, pack_numbers(new[own])))
+                    rows.append((block, int(s), [distinct[i] for i in own], None, check, pack_numbers(new[own])))
                 at = 0
                 for k, ws in enumerate(split):
-                    rows.append((block, None, None, ids[a + k].as_py(), len(distinct), pack_numbers(places[at : at + len(ws)])))
+                    rows.append((block, None, None, ids[a + k].as_py(), check, pack_numbers(places[at : at + len(ws)])))
                     at += len(ws)
                 for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=BLOCKS.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=BLOCKS.names)
 
     return docs.mapInArrow(run, BLOCKS)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.StructField]) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.StructField], stable: bool = False) -> DataFrame:
     """doc_id and what ``finish(ids, tokens)`` makes of each document's ids and the token-byte table.
 
     Null texts are empty and have no ids; ids may be null or repeat; other columns are ignored.
+    The blocks are read twice. ``stable`` says that ``docs`` gives the same rows in the same order each
+    time, as a scan of files does; then they are made twice, else written to the shared folder. A block
+    that came out differently fails the job.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 4 * parts)
-    meet = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("is_doc", T.BooleanType())])
+    blocks = blocks if stable else cut(blocks, "bpe-blocks")
+    meet = T.StructType([T.StructField("block", T.LongType()), T.StructField("check", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("is_doc", T.BooleanType())])
 
     def once(batches):
         """Words of a shard to ids; every distinct word is encoded when first met in the task."""
@@ -161,12 +167,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.Str
                 own = list(map(known.__getitem__, row["words"]))
                 sizes = np.fromiter(map(len, own), np.int64, len(own))
                 ids = np.fromiter((i for x in own for i in x), np.int64, int(sizes.sum()))
-                out.append((row["block"], None, None, row["places"], pack_numbers(ids), pack_numbers(sizes), False))
+                out.append((row["block"], row["check"], None, row["places"], pack_numbers(ids), pack_numbers(sizes), False))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=meet.names)
 
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-    encoded = blocks.where("shard is not null").select("block", "shard", "words", "places").repartition(parts, "shard").mapInArrow(once, meet)
-    documents = blocks.where("shard is null").select("block", "n_words", "doc_id", "places", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sizes"), F.lit(True).alias("is_doc"))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+    encoded = blocks.where("shard is not null").select("block", "check", "shard", "words", "places").repartition(parts, "shard").mapInArrow(once, meet)
+    documents = blocks.where("shard is null").select("block", "check", "doc_id", "places", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sizes"), F.lit(True).alias("is_doc"))
     together = encoded.unionByName(documents).repartition(parts, "block").sortWithinPartitions("block", "is_doc")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *fields])
 
@@ -182,13 +188,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.Str
                 if row["block"] != block:
                     block, dictionary, table = row["block"], [], None
                 if not row["is_doc"]:
-                    dictionary.append((unpack_numbers(row["places"]), unpack_numbers(row["sizes"]) if row["sizes"] else np.zeros(0, np.int64), unpack_numbers(row["ids"])))
+                    dictionary.append((unpack_numbers(row["places"]), unpack_numbers(row["sizes"]) if row["sizes"] else np.zeros(0, np.int64), unpack_numbers(row["ids"]), row["check"]))
                     continue
                 if table is None:
                     numbers = np.concatenate([d[0] for d in dictionary] or [np.zeros(0, np.int64)])
                     sizes = np.concatenate([d[1] for d in dictionary] or [np.zeros(0, np.int64)])
                     flat = np.concatenate([d[2] for d in dictionary] or [np.zeros(0, np.int64)])
-                    if len(numbers) != row["n_words"]:
+                    if any(d[3] != row["check"] for d in dictionary):
                         raise RuntimeError("a block's words were cut differently when they were read again")
                     starts = np.empty(len(numbers), np.int64)
                     length = np.empty(len(numbers), np.int64)
@@ -211,13 +217,13 @@ def decode(ids: np.ndarray, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, stable: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
 
     def finish(ids, tokens):
         return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids, tokens)).hexdigest()
 
-    return encode(docs, ranks, pattern, finish, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return encode(docs, ranks, pattern, finish, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())], stable)
 
 
 def ids_of(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

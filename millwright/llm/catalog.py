@@ -50,7 +50,7 @@ def op7_byte_bpe(spark, sf_dir):
 
     from millwright.llm.byte_bpe import encode_decode
 
-    return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stable=True)
 
 
 def op9_quality_rules(spark, sf_dir):
