@@ -53,6 +53,12 @@ def op7_byte_bpe(spark, sf_dir):
     return encode_decode(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stable=True)
 
 
+def op8_suffix_array_dedup(spark, sf_dir):
+    from millwright.llm.repeats import removal_digests
+
+    return removal_digests(_docs(spark, sf_dir))
+
+
 def op9_quality_rules(spark, sf_dir):
     from millwright.llm.quality_rules import COUNTS, rule_quality
 
@@ -70,7 +76,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op6_document_fingerprints, op7_byte_bpe, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op6_document_fingerprints, op7_byte_bpe, op8_suffix_array_dedup, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql():

@@ -19,24 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millwright.llm.rolling import BYTE, powers
+
 CONTEXT = 16
 SIZE = 8  # bytes of an inner node; the root has 16
-_R = np.uint64(0x9E3779B97F4A7C15)
-_RI = np.uint64(pow(int(_R), -1, 1 << 64))
-_BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def get(cls, n: int):
-        if n > len(cls.up):
-            size = max(n, 2 * len(cls.up), 1 << 16)
-            cls.up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _R))])
-            cls.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _RI))])
-        return cls.up, cls.down
 
 
 def leaf_marks(data: bytes) -> bytes:
@@ -46,8 +32,8 @@ def leaf_marks(data: bytes) -> bytes:
     n = len(b)
     if not n:
         return b""
-    up, down = _Powers.get(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[:n])])
+    up, down = powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[b] * up[:n])])
     spaces = np.flatnonzero(b == 32)
     since = np.maximum(spaces - 8, 0)
     mix = (total[spaces] - total[since]) * down[since] * np.uint64(0xBF58476D1CE4E5B9)
