@@ -39,6 +39,12 @@ def op4_toxicity(spark, sf_dir):
     return classify(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    from millwright.llm.near_dedup import with_components
+
+    return with_components(_docs(spark, sf_dir), 4, 80)
+
+
 def op6_document_fingerprints(spark, sf_dir):
     from millwright.llm.fingerprints import fingerprint_edits
 
@@ -76,7 +82,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op6_document_fingerprints, op7_byte_bpe, op8_suffix_array_dedup, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op5_minhash_near_dedup, op6_document_fingerprints, op7_byte_bpe, op8_suffix_array_dedup, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql():

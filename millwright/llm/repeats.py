@@ -15,7 +15,7 @@ round reusing the buckets of the last:
 
 Each round is a scan of the texts that makes only the identifiers of what the rounds before left open,
 and a count of equal identifiers, which is pre-aggregated. What is open travels as a bitmap of at
-most ``BITS`` bits: its false positives cost work and never change a result. No bucket is ever
+most ``bitmaps.BITS`` bits: its false positives cost work and never change a result. No bucket is ever
 gathered anywhere. Identifiers are 64-bit hashes, told apart further by the level's own bucket.
 """
 
@@ -26,31 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.rolling import Hashes, mix, sliding_min
 from millwright.llm.store import Cut, cut
 
 SPAN, GRAM, RUN = 400, 64, 16
 WIDTH = SPAN - GRAM + 1  # q-grams of a window
 CHUNK = 4 << 20  # bytes of a text that are worked on together
-WORDS = 1 << 20  # 64-bit words of a bitmap
-BITS = 64 * WORDS
-
-
-def has(bitmap: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
-    if bitmap is None:
-        return np.ones(len(ids), bool)
-    return (bitmap[(ids & np.uint64(WORDS - 1)).astype(np.int64)] >> ((ids >> np.uint64(32)) & np.uint64(63))) & np.uint64(1) != 0
-
-
-def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of a column of 64-bit identifiers; at most ``WORDS`` rows come to the driver."""
-    c = F.col(column)
-    word = F.expr(f"cast({column} & {WORDS - 1}L as int)").alias("word")
-    bit = F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 32) & 63L as int))")).alias("bits")
-    got = df.where(c.isNotNull()).groupBy(word).agg(bit).toArrow()
-    out = np.zeros(WORDS, np.uint64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
 
 
 class Open:

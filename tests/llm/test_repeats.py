@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
-from millwright.llm import repeats
+from millwright.llm import bitmaps, repeats
 
 SPAN = repeats.SPAN
 
@@ -59,7 +59,7 @@ def test_false_positives_and_chunks_change_nothing(spark, monkeypatch):
 
     texts = corpus()[8:30]
     whole, cut = repeats.Open(), repeats.Open()
-    full = np.full(repeats.WORDS, np.iinfo(np.uint64).max, np.uint64)
+    full = np.full(bitmaps.WORDS, np.iinfo(np.uint64).max, np.uint64)
     cut.grams = cut.contexts = cut.commons = cut.edges = full
     for t in texts:
         data = np.frombuffer(t.encode(), np.uint8)
