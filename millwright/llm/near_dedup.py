@@ -8,7 +8,7 @@ likeness, so that bands of ``ROWS`` registers bring alike sets into one bucket.
 Equal sets are one vertex. In a bucket the likeness of two vertices is estimated by maximum likelihood
 from the registers that are equal, larger and smaller together with the exact set sizes; pairs that
 could reach the threshold are confirmed on the full sets. Pairs are not enumerated first: in every
-round each vertex names its likeliest partners in other components (1, then 8, 64, then all), those
+round each vertex names its likeliest partners in other components (1, then 2, 8, 64, then all), those
 are confirmed, components are joined, and only buckets that hold several components go on. A large
 bucket is dealt over tiles of bounded size. The last round names all that is left, so no link between
 components is lost to a limit; links inside one component need no confirming.
@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.components import components
@@ -31,7 +32,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 TILE = 2000
 #: partners that a vertex names in the rounds; None: all
-PARTNERS = (1, 8, 64, None)
+PARTNERS = (1, 2, 8, 64, None)
 #: likelihood ratio up to which a pair may reach the threshold: 5 standard deviations
 DOUBT = 25.0
 MAX_WORDS = 500_000
@@ -238,7 +239,7 @@ def _name_partners(group: dict, band: int, partners: int | None, least: float):
 
 
 def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, partners: int | None, diagonal: bool, least: float) -> DataFrame:
-    """(a, b, more): pairs named in this round. ``labels`` (v, label) are the components so far."""
+    """(a, b, ca, cb, e, more): pairs named in this round. ``labels`` (v, label) are the components so far."""
     import pyarrow as pa
 
     now = members.join(labels, "v", "left").withColumn("comp", F.coalesce("label", "v")).select("id", "band", "v", "comp")
@@ -264,7 +265,7 @@ def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, part
     dealt = dealt.select("id", "band", "v", "n", "registers", "comp", F.col("t.i").cast("int").alias("i"), F.col("t.j").cast("int").alias("j"), F.col("t.x").alias("is_x"), F.col("t.y").alias("is_y"))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "id", "i", "j").sortWithinPartitions("id", "i", "j", "v")
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("e", T.DoubleType()), T.StructField("more", T.BooleanType())])
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("ca", T.BinaryType()), T.StructField("cb", T.BinaryType()), T.StructField("e", T.DoubleType()), T.StructField("more", T.BooleanType())])
 
     def run(batches):
         def work(table):
@@ -277,8 +278,8 @@ def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, part
             if made is None:
                 return None
             a, b, e, more = made
-            v = cols["v"].combine_chunks()
-            return pa.RecordBatch.from_arrays([v.take(pa.array(a)), v.take(pa.array(b)), pa.array(e), pa.array(np.full(len(a), more))], names=schema.names)
+            v, c = cols["v"].combine_chunks(), cols["comp"].combine_chunks()
+            return pa.RecordBatch.from_arrays([v.take(pa.array(a)), v.take(pa.array(b)), c.take(pa.array(a)), c.take(pa.array(b)), pa.array(e), pa.array(np.full(len(a), more))], names=schema.names)
 
         held = []
         last = None
@@ -312,26 +313,33 @@ def group_near(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataF
     maybe.drop()
     wanted = bitmap(members.select(F.expr("cast(conv(hex(substring(v, 1, 8)), 16, -10) as bigint)").alias("id")).distinct(), "id")
     sets = cut(_full_sets(docs, size, wanted), "near-sets")
-    labels = cut(members.select("v", F.col("v").alias("label")).where("false"), "near-labels")
-    links = failed = None
-    rounds = [(p, p is not None) for p in PARTNERS[:-1]] + [(None, False)]
-    rounds[0] = (PARTNERS[0], True)
-    for k, (partners, _) in enumerate(rounds):
+    labels = cut(members.select("v", F.col("v").alias("label")).distinct(), "near-labels")
+    failed = None
+    for k, partners in enumerate(PARTNERS):
         named = Cut(_candidates(members, vertices, labels, partners, k == 0, least), "near-named")
         state = named.df.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
         crowds = members.groupBy("id").count().where(F.col("count") > TILE).limit(1).count() if k == 0 else 0
         complete = not state["more"] and not crowds
         if state["n"]:
-            pairs = named.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            ca, cb = F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")
+            pairs = named.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ca, cb, "e").distinct()
             if failed is not None:
                 pairs = pairs.join(failed, ["a", "b"], "left_anti")
+            first = pairs
+            if partners is not None:
+                # of the pairs between two components the likeliest; one link joins them
+                pairs = cut(pairs, "near-pairs")
+                rank = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("e"), "a", "b"))
+                first = pairs.withColumn("rank", rank).where(F.col("rank") <= partners)
             one, two = sets.select(F.col("v").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("v").alias("b"), F.col("elements").alias("eb"))
             both = F.size(F.array_intersect("ea", "eb"))
-            tested = cut(pairs.join(one, "a").join(two, "b").select("a", "b", (100 * both >= percent * (F.size("ea") + F.size("eb") - both)).alias("linked")), "near-tested")
-            new, bad = tested.where("linked").select("a", "b"), tested.where("not linked").select("a", "b")
-            links = new if links is None else links.unionByName(new)
+            tested = cut(first.join(one, "a").join(two, "b").select("a", "b", "ca", "cb", (100 * both >= percent * (F.size("ea") + F.size("eb") - both)).alias("linked")), "near-tested")
+            # what is put off for a likelier pair comes up again in the next round
+            complete = complete and (partners is None or pairs.count() == tested.count())
+            bad = tested.where("not linked").select("a", "b")
             failed = bad if failed is None else failed.unionByName(bad)
-            labels = components(links)
+            joined = components(tested.where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("v").alias("label"), F.col("label").alias("_new"))
+            labels = cut(labels.join(joined, "label", "left").select("v", F.coalesce("_new", "label").alias("label")), "near-labels")
         named.drop()
         if complete:
             break
