@@ -28,10 +28,11 @@ from pyspark.sql import types as T
 
 from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.rolling import Hashes, mix, sliding_min
-from millwright.llm.store import Cut, cut
+from millwright.llm.store import cut
 
 SPAN, GRAM, RUN = 400, 64, 16
 WIDTH = SPAN - GRAM + 1  # q-grams of a window
+MAX_SEEN = 500_000  # settled contexts that a task remembers; beyond, they are made again
 CHUNK = 4 << 20  # bytes of a text that are worked on together
 
 
@@ -51,13 +52,17 @@ def chunks(data: np.ndarray):
         yield data[low : at + windows + 2 * SPAN], at - low, windows, low, n
 
 
-def scan(data: np.ndarray, level: str, known: Open) -> dict[str, np.ndarray]:
-    """The identifiers of one level of one text, as arrays of equal length."""
-    parts = [_scan(*c, level, known) for c in chunks(data)]
+def scan(data: np.ndarray, level: str, known: Open, seen: set | None = None) -> dict[str, np.ndarray]:
+    """The identifiers of one level of one text, as arrays of equal length.
+
+    ``seen`` holds settled contexts that the task has been through: what they hold is made once, as it
+    only needs to be known that it occurs.
+    """
+    parts = [_scan(*c, level, known, seen) for c in chunks(data)]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
 
-def _scan(b, first, windows, low, n, level, known):
+def _scan(b, first, windows, low, n, level, known, seen):
     hashes = Hashes(b)
     grams = hashes.of(np.arange(first, first + windows + WIDTH - 1), GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
@@ -78,6 +83,16 @@ def _scan(b, first, windows, low, n, level, known):
     if level == "contexts":
         return {"start": start + low, "count": count, "id": context, "whole": whole}
     own = ~whole | has(known.contexts, context)
+    if seen is not None and not own.all():
+        done = mix(context + (anchor - start).astype(np.uint64) * np.uint64(SPAN) + count.astype(np.uint64))
+        new = own.copy()
+        for i in np.flatnonzero(~own).tolist():
+            x = int(done[i])
+            if x not in seen:
+                new[i] = True
+                if len(seen) < MAX_SEEN:
+                    seen.add(x)
+        anchor, start, count, gram, own = anchor[new], start[new], count[new], gram[new], own[new]
     # runs of windows by their distance to the anchor
     far, near = anchor - start, anchor - start - count + 1
     n_runs = far // RUN - near // RUN + 1
@@ -127,7 +142,7 @@ def level(docs: DataFrame, name: str, known: Open) -> DataFrame:
     arrow = {"id": pa.int64(), "common": pa.int64(), "start": pa.int64(), "count": pa.int64(), "whole": pa.bool_(), "own": pa.bool_()}
 
     def run(batches):
-        held, rows = [], 0
+        held, rows, seen = [], 0, set()
 
         def emit():
             made = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
@@ -142,7 +157,7 @@ def level(docs: DataFrame, name: str, known: Open) -> DataFrame:
             keys = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in KEY]
             for i, s in enumerate(text):
                 data = np.frombuffer(s.as_buffer(), np.uint8) if len(s.as_buffer()) >= SPAN else np.zeros(0, np.uint8)
-                made = scan(data, name, shared.value)
+                made = scan(data, name, shared.value, seen)
                 n = len(made["id"]) if made else 0
                 if not n:
                     continue
@@ -173,23 +188,21 @@ def covered(texts: DataFrame) -> DataFrame:
     """(_id, _hash, spans): per text the byte ranges [from, to) that a repeated string covers, unmerged."""
     known = Open()
     known.grams = bitmap(repeated(level(texts, "grams", known)), "id")
-    contexts = Cut(level(texts, "contexts", known), "repeat-contexts")
-    twice = repeated(contexts.df.where("whole")).select("id", F.lit(True).alias("_twice"))
-    marked = Cut(contexts.df.where("whole").join(twice, "id", "left"), "repeat-marked")
-    contexts_open = bitmap(marked.df.where("_twice is null"), "id")
-    settled = marked.df.where("_twice").select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("count") - 1 + SPAN).alias("to"))
-    contexts.drop()
+    contexts = cut(level(texts, "contexts", known), "repeat-contexts").where("whole")
+    twice = cut(repeated(contexts).select("id"), "repeat-twice")
+    contexts_open = bitmap(contexts.join(twice, "id", "left_anti"), "id")
+    settled = contexts.join(twice, "id", "left_semi").select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("count") - 1 + SPAN).alias("to"))
     known.contexts = contexts_open
     commons = level(texts, "commons", known).groupBy("id").agg(F.count("*").alias("n"), F.max("own").alias("own"))
     known.commons = bitmap(commons.where("n >= 2 and own"), "id")
-    unions = Cut(level(texts, "unions", known), "repeat-unions")
-    twice = repeated(unions.df.where("whole")).select("id", F.lit(True).alias("_twice"))
-    own = Cut(unions.df.where("own").withColumn("id", F.when(F.col("whole"), F.col("id"))).join(twice, "id", "left"), "repeat-own")
-    unions.drop()
-    runs = own.df.where("_twice").select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("count") - 1 + SPAN).alias("to"))
-    known.edges = bitmap(own.df.where("_twice is null").select("common"), "common")
-    windows = Cut(level(texts, "windows", known), "repeat-windows")
-    single = windows.df.where("own").join(repeated(windows.df).select("id"), "id").select(*KEY, F.col("start").alias("from"), (F.col("start") + SPAN).alias("to"))
+    unions = cut(level(texts, "unions", known), "repeat-unions")
+    twice = cut(repeated(unions.where("whole")).select("id"), "repeat-twice")
+    own = unions.where("own and whole")
+    runs = own.join(twice, "id", "left_semi").select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("count") - 1 + SPAN).alias("to"))
+    left = own.join(twice, "id", "left_anti").select("common").unionByName(unions.where("own and not whole").select("common"))
+    known.edges = bitmap(left, "common")
+    windows = cut(level(texts, "windows", known), "repeat-windows")
+    single = windows.where("own").join(repeated(windows).select("id"), "id").select(*KEY, F.col("start").alias("from"), (F.col("start") + SPAN).alias("to"))
     spans = settled.unionByName(runs).unionByName(single).distinct()
     return spans.groupBy(*KEY).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
