@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.rolling import Hashes, mix, sliding_min
-from millwright.llm.store import cut
+from millwright.llm.store import Cut, cut
 
 SPAN, GRAM, RUN = 400, 64, 16
 WIDTH = SPAN - GRAM + 1  # q-grams of a window
@@ -184,25 +184,35 @@ def repeated(ids: DataFrame, least: int = 2) -> DataFrame:
     return ids.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def _spans(rows: DataFrame) -> DataFrame:
+    return rows.select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("count") - 1 + SPAN).alias("to"))
+
+
 def covered(texts: DataFrame) -> DataFrame:
     """(_id, _hash, spans): per text the byte ranges [from, to) that a repeated string covers, unmerged."""
     known = Open()
     known.grams = bitmap(repeated(level(texts, "grams", known)), "id")
-    contexts = cut(level(texts, "contexts", known), "repeat-contexts").where("whole")
+    table = Cut(level(texts, "contexts", known).where("whole").drop("whole"), "repeat-contexts")
+    contexts = table.df
     twice = cut(repeated(contexts).select("id"), "repeat-twice")
     contexts_open = bitmap(contexts.join(twice, "id", "left_anti"), "id")
-    settled = contexts.join(twice, "id", "left_semi").select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("count") - 1 + SPAN).alias("to"))
+    settled = cut(_spans(contexts.join(twice, "id", "left_semi")), "repeat-settled")
+    table.drop()
     known.contexts = contexts_open
     commons = level(texts, "commons", known).groupBy("id").agg(F.count("*").alias("n"), F.max("own").alias("own"))
     known.commons = bitmap(commons.where("n >= 2 and own"), "id")
-    unions = cut(level(texts, "unions", known), "repeat-unions")
+    table = Cut(level(texts, "unions", known), "repeat-unions")
+    unions = table.df
     twice = cut(repeated(unions.where("whole")).select("id"), "repeat-twice")
     own = unions.where("own and whole")
-    runs = own.join(twice, "id", "left_semi").select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("count") - 1 + SPAN).alias("to"))
+    runs = cut(_spans(own.join(twice, "id", "left_semi")), "repeat-runs")
     left = own.join(twice, "id", "left_anti").select("common").unionByName(unions.where("own and not whole").select("common"))
     known.edges = bitmap(left, "common")
-    windows = cut(level(texts, "windows", known), "repeat-windows")
-    single = windows.where("own").join(repeated(windows).select("id"), "id").select(*KEY, F.col("start").alias("from"), (F.col("start") + SPAN).alias("to"))
+    table.drop()
+    table = Cut(level(texts, "windows", known), "repeat-windows")
+    windows = table.df
+    single = cut(_spans(windows.where("own").withColumn("count", F.lit(1)).join(repeated(windows).select("id"), "id", "left_semi")), "repeat-single")
+    table.drop()
     spans = settled.unionByName(runs).unionByName(single).distinct()
     return spans.groupBy(*KEY).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 

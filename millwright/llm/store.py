@@ -1,5 +1,6 @@
 """Tables in the folder that all machines share, used to cut lineage."""
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,9 @@ class Cut:
     def drop(self) -> None:
         fs, path = _path(self.spark, self.where)
         fs.delete(path, True)
+        # shuffle files go when their last reference is collected
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
