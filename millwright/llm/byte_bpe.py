@@ -101,13 +101,18 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        from pyspark import TaskContext
+        import xxhash
 
-        part, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             column, ids = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "doc_id"))
             for a, b in pieces(column, BLOCK_BYTES):
-                split = [words(t or "") for t in column.slice(a, b - a).to_pylist()]
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                split = [words(t) for t in texts]
+                # named by its content: the same when it is made again, in whatever task
+                name = xxhash.xxh3_64(repr(ids.slice(a, b - a).to_pylist()).encode())
+                for t in texts:
+                    name.update(t.encode("utf-8", "surrogatepass"))
+                block = name.intdigest() - (1 << 63)
                 flat = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
                 distinct = flat.dictionary.to_pylist()
                 # words by shard, within it the frequent ones first
@@ -119,8 +124,6 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
                 new = np.empty(len(distinct), np.int64)
                 new[by_count] = np.arange(len(distinct))
                 places = new[number]
-                block = (part << 32) | count
-                count += 1
                 check = zlib.crc32("\0".join(distinct[i] for i in by_count).encode("utf-8", "surrogatepass"))
                 sizes = np.bincount(shard, minlength=shards)
                 at, rows = 0, []
@@ -194,7 +197,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.Str
                     numbers = np.concatenate([d[0] for d in dictionary] or [np.zeros(0, np.int64)])
                     sizes = np.concatenate([d[1] for d in dictionary] or [np.zeros(0, np.int64)])
                     flat = np.concatenate([d[2] for d in dictionary] or [np.zeros(0, np.int64)])
-                    if any(d[3] != row["check"] for d in dictionary):
+                    if not dictionary and row["places"] or any(d[3] != row["check"] for d in dictionary):
                         raise RuntimeError("a block's words were cut differently when they were read again")
                     starts = np.empty(len(numbers), np.int64)
                     length = np.empty(len(numbers), np.int64)

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 from millwright.llm import byte_bpe as bb
+from millwright.llm.store import cut
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -46,5 +47,8 @@ def test_rows_equal_the_library(spark):
         ids = enc.encode_ordinary(t or "")
         want.append((-1 if i is None else i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
+    stored = cut(docs, "test-docs")
+    twice = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bb.encode_decode(stored, RANKS, P.PATTERN, stable=True).collect())
+    assert twice == got
     assert bb.encode_decode(docs.where("false"), RANKS, P.PATTERN).count() == 0
     assert bb.ids_of(docs.where("doc_id = 5"), RANKS, P.PATTERN).count() == 3
