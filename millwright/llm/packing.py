@@ -22,7 +22,7 @@ from millwright.llm.store import cut
 
 CAPACITY = 2048
 END_ID = 0
-MAX_WORDS = 500_000
+MAX_WORDS = 1_200_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
