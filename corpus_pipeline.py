@@ -43,8 +43,8 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Training, expectation-maximisation, components and packing are not expressible in SQL; tests/llm
-#: holds the pipeline against a brute-force version.
+#: Training, expectation-maximisation, components and packing are not expressible in SQL. The operators
+#: of the stages are tested against brute force in tests/llm; the pipeline as a whole isn't yet.
 ORACLE_SQL = None
 
 
