@@ -7,11 +7,13 @@ likeness, so that bands of ``ROWS`` registers bring alike sets into one bucket.
 
 Equal sets are one vertex. In a bucket the likeness of two vertices is estimated by maximum likelihood
 from the registers that are equal, larger and smaller together with the exact set sizes; pairs that
-could reach the threshold are confirmed on the full sets. Pairs are not enumerated first: in every
-round each vertex names its likeliest partners in other components (1, then 2, 8, 64, then all), those
-are confirmed, components are joined, and only buckets that hold several components go on. A large
-bucket is dealt over tiles of bounded size. The last round names all that is left, so no link between
-components is lost to a limit; links inside one component need no confirming.
+could reach the threshold are confirmed on the full sets. Pairs are not enumerated first: in the first
+round each vertex names its likeliest partner in a bucket, those pairs are confirmed and components are
+joined. Only buckets that hold several components go on to the second round, with their full sets.
+There every pair between components that could reach the threshold is confirmed inside its tile, and
+a tile gives only links that join components which it has not joined yet. A large bucket is dealt over
+tiles of bounded numbers of vertices and of elements. So no link between components is lost to a
+limit, and links inside one component need no confirming.
 """
 
 from functools import lru_cache
@@ -20,7 +22,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.components import components
@@ -30,9 +31,8 @@ from millwright.llm.store import Cut, cut
 BANDS, ROWS = 27, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-TILE = 2000
-#: partners that a vertex names in the rounds; None: all
-PARTNERS = (1, 2, 8, 64, None)
+#: vertices and set elements of one side of a tile
+TILE, ELEMENTS = 2000, 4_000_000
 #: likelihood ratio up to which a pair may reach the threshold: 5 standard deviations
 DOUBT = 25.0
 MAX_WORDS = 500_000
@@ -148,15 +148,15 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _bands(vertices: DataFrame, open_: np.ndarray | None) -> DataFrame:
-    """(band, id, v) of each vertex and band; with a bitmap only of keys that it holds."""
+    """(band, id, v, n) of each vertex and band; with a bitmap only of keys that it holds."""
     import pyarrow as pa
 
     shared = vertices.sparkSession.sparkContext.broadcast(open_)
-    schema = T.StructType([T.StructField("id", T.LongType())] + ([T.StructField("band", T.IntegerType()), T.StructField("v", T.BinaryType())] if open_ is not None else []))
+    schema = T.StructType([T.StructField("id", T.LongType())] + ([T.StructField("band", T.IntegerType()), T.StructField("v", T.BinaryType()), T.StructField("n", T.LongType())] if open_ is not None else []))
 
     def run(batches):
         for batch in batches:
-            v = batch.column(batch.schema.get_field_index("v"))
+            v, n = (batch.column(batch.schema.get_field_index(k)) for k in ("v", "n"))
             raw = batch.column(batch.schema.get_field_index("registers"))
             if not batch.num_rows:
                 continue
@@ -166,41 +166,45 @@ def _bands(vertices: DataFrame, open_: np.ndarray | None) -> DataFrame:
                 continue
             on = has(shared.value, keys.ravel())
             at = np.flatnonzero(on)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[on].view(np.int64)), pa.array((at % BANDS).astype(np.int32)), v.take(pa.array(at // BANDS))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[on].view(np.int64)), pa.array((at % BANDS).astype(np.int32)), v.take(pa.array(at // BANDS)), n.take(pa.array(at // BANDS))], names=schema.names)
 
     return vertices.mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
-    """(v, elements) of the vertices that a bitmap of their first 64 bits holds, each once."""
+    """(v, elements), each vertex once, of the texts whose hashes a bitmap holds."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
     schema = T.StructType([T.StructField("v", T.BinaryType()), T.StructField("elements", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        given: set[bytes] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
+        given: set[int] = set()
+        for batch in batches:
+            h = batch.column(batch.schema.get_field_index("h")).to_numpy()
+            text = batch.column(batch.schema.get_field_index("text"))
+            at = [i for i in np.flatnonzero(has(shared.value, h.view(np.uint64))).tolist() if text[i].is_valid]
+            for start in range(0, len(at), 500):
                 vs, es = [], []
-                for t in _texts(whole.slice(at, 500)):
-                    s = shingles(t, size)
-                    v = vertex(s)
-                    if len(s) and v not in given and has(shared.value, np.frombuffer(v[:8], ">u8").astype(np.uint64))[0]:
-                        if len(given) < 100_000:
-                            given.add(v)
-                        vs.append(v)
+                for i in at[start : start + 500]:
+                    if h[i] in given:
+                        continue
+                    if len(given) < 1_000_000:
+                        given.add(int(h[i]))
+                    s = shingles(text[i].as_py(), size)
+                    if len(s):
+                        vs.append(vertex(s))
                         es.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(vs, pa.binary()), pa.array(es, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("v").agg(F.first("elements").alias("elements"))
+    return docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema).groupBy("v").agg(F.first("elements").alias("elements"))
 
 
-def _name_partners(group: dict, band: int, partners: int | None, least: float):
-    """(a, b, estimate, more) of a tile: for each x its likeliest partners y in other components."""
+def _possible(group: dict, band: int, least: float):
+    """(x, y, estimate) of the pairs of a tile between components that could reach ``least``, in blocks
+    of vertices x. A pair belongs to the first band that holds it."""
     x, y = np.flatnonzero(group["is_x"]), np.flatnonzero(group["is_y"])
     regs, n, comp, both = group["registers"], group["n"], group["comp"], group["is_x"] & group["is_y"]
-    out_a, out_b, out_e, more = [], [], [], False
     step = max(1, 4_000_000 // (REGISTERS * max(1, len(y))))
     for at in range(0, len(x), step):
         xs = x[at : at + step]
@@ -213,7 +217,6 @@ def _name_partners(group: dict, band: int, partners: int | None, least: float):
         a, b = regs[i], regs[j]
         same = a == b
         equal = same.sum(1)
-        # a pair is named in the first band that holds it
         first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
         ok = first & (equal >= REGISTERS * (least - 0.45))
         i, j, a, b, equal = i[ok], j[ok], a[ok], b[ok], equal[ok]
@@ -221,37 +224,90 @@ def _name_partners(group: dict, band: int, partners: int | None, least: float):
             continue
         larger = (a > b).sum(1)
         e, possible = estimate(equal, larger, REGISTERS - equal - larger, n[i], n[j], least)
-        i, j, e = i[possible], j[possible], e[possible]
-        if partners is not None and len(i) > partners:
-            ends, others = np.concatenate([i, j]), np.concatenate([j, i])
-            order = np.lexsort((others, -np.concatenate([e, e]), ends))
-            sorted_ends = ends[order]
-            rank = np.arange(len(order)) - np.searchsorted(sorted_ends, sorted_ends)
-            taken = np.unique(order[rank < partners] % len(i))
-            more |= len(taken) < len(i)
-            i, j, e = i[taken], j[taken], e[taken]
-        out_a.append(i)
-        out_b.append(j)
-        out_e.append(e)
-    if not out_a:
+        if possible.any():
+            yield i[possible], j[possible], e[possible]
+
+
+def _name_partners(group: dict, band: int, least: float):
+    """(a, b, estimate, whether there are others) of a tile: for each vertex its likeliest partner."""
+    out, more = [], False
+    for i, j, e in _possible(group, band, least):
+        ends, others = np.concatenate([i, j]), np.concatenate([j, i])
+        order = np.lexsort((others, -np.concatenate([e, e]), ends))
+        start = np.r_[True, np.diff(ends[order]) != 0]
+        taken = np.unique(order[start] % len(i))
+        more |= len(taken) < len(i)
+        out.append((i[taken], j[taken], e[taken]))
+    if not out:
+        return None
+    return *(np.concatenate(c) for c in zip(*out, strict=True)), more
+
+
+def _join_tile(group: dict, band: int, least: float, percent: int):
+    """(a, b, estimate, False) of a tile: links, confirmed on the full sets, that join its components.
+
+    Pairs within what the tile has already joined are passed over, so there are fewer links than
+    components.
+    """
+    values, offsets = group["elements"]
+    codes = np.unique(values, return_inverse=True)[1]
+    mark, n, comp = np.zeros(len(codes), bool), np.diff(offsets), group["comp"]
+    root = np.arange(comp.max() + 1)
+    out = []
+    for i, j, e in _possible(group, band, least):
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(i)], strict=True):
+            x, ys, es = i[a], j[a:b], e[a:b]
+            open_ = root[comp[ys]] != root[comp[x]]
+            ys, es = ys[open_], es[open_]
+            own = codes[offsets[x] : offsets[x + 1]]
+            mark[own] = True
+            at = 0
+            while at < len(ys):
+                # partners in blocks of bounded size, at least one
+                upto = max(at + 1, int(np.searchsorted(np.cumsum(n[ys[at:]]), ELEMENTS)) + at)
+                some = ys[at:upto]
+                starts = np.r_[0, np.cumsum(n[some])[:-1]]
+                places = np.arange(n[some].sum()) + np.repeat(offsets[some] - starts, n[some])
+                shared = np.add.reduceat(mark[codes[places]], starts, dtype=np.int64)
+                for k in np.flatnonzero(100 * shared >= percent * (n[x] + n[some] - shared)):
+                    one, two = root[comp[x]], root[comp[some[k]]]
+                    if one != two:
+                        root[root == two] = one
+                        out.append((x, some[k], es[at + k]))
+                at = upto
+            mark[own] = False
+    if not out:
         return None
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_e), more
+    a, b, e = zip(*out, strict=True)
+    return np.array(a), np.array(b), np.array(e), False
+
 
+def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, sets: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b, ca, cb, e, more): without ``sets`` pairs named for confirming, with them confirmed links.
 
-def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, partners: int | None, diagonal: bool, least: float) -> DataFrame:
-    """(a, b, ca, cb, e, more): pairs named in this round. ``labels`` (v, label) are the components so far."""
+    ``labels`` (v, label) are the components so far. Without ``sets`` a large bucket is dealt over
+    tiles and only pairs inside a tile are seen; with them every pair of a bucket meets in one tile.
+    """
     import pyarrow as pa
 
-    now = members.join(labels, "v", "left").withColumn("comp", F.coalesce("label", "v")).select("id", "band", "v", "comp")
-    per = now.groupBy("id", "comp").agg(F.count("*").alias("k"))
-    buckets = per.groupBy("id").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).where("size > top.k")
-    rows = now.join(buckets, "id").join(vertices.select("v", "n", "registers"), "v")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    now = members.join(labels, "v", "left").withColumn("comp", F.coalesce("label", "v")).select("id", "band", "v", "n", "comp")
+    per = now.groupBy("id", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    buckets = per.groupBy("id").agg(F.sum("k").alias("size"), F.sum("s").alias("total"), F.max(F.struct("k", "comp", "s")).alias("top")).where("size > top.k")
+    rows = now.join(buckets, "id").join(vertices.select("v", "registers"), "v")
+    if sets is not None:
+        rows = rows.join(sets, "v")
+    least, carried = percent / 100, [] if sets is None else ["elements"]
+
+    def tiled(k, n):
+        return F.ceil(F.greatest(k / TILE, n / ELEMENTS)).cast("int")
+
+    tiles = F.ceil(F.col("size") / TILE).cast("int") if sets is None else tiled(F.col("size"), F.col("total"))
     rows = rows.withColumn("c", tiles).withColumn("home", F.pmod(F.hash("v"), F.col("c")))
-    if diagonal:
+    if sets is None:
         dealt = rows.withColumn("t", F.struct(F.col("home").alias("i"), F.col("home").alias("j"), F.lit(True).alias("x"), F.lit(True).alias("y")))
     else:
-        small = F.ceil((F.col("size") - F.col("top.k")) / TILE).cast("int")
+        small = tiled(F.col("size") - F.col("top.k"), F.col("total") - F.col("top.s"))
         rows = rows.withColumn("cm", small).withColumn("minor", F.col("comp") != F.col("top.comp")).withColumn("xi", F.pmod(F.xxhash64("v"), F.col("cm")).cast("int"))
         dealt = rows.withColumn(
             "t",
@@ -262,7 +318,7 @@ def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, part
                 )
             ),
         )
-    dealt = dealt.select("id", "band", "v", "n", "registers", "comp", F.col("t.i").cast("int").alias("i"), F.col("t.j").cast("int").alias("j"), F.col("t.x").alias("is_x"), F.col("t.y").alias("is_y"))
+    dealt = dealt.select("id", "band", "v", "n", "registers", "comp", F.col("t.i").cast("int").alias("i"), F.col("t.j").cast("int").alias("j"), F.col("t.x").alias("is_x"), F.col("t.y").alias("is_y"), *carried)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "id", "i", "j").sortWithinPartitions("id", "i", "j", "v")
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("ca", T.BinaryType()), T.StructField("cb", T.BinaryType()), T.StructField("e", T.DoubleType()), T.StructField("more", T.BooleanType())])
@@ -271,10 +327,17 @@ def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, part
         def work(table):
             if len(table) < 2:
                 return None
-            cols = {k: table.column(k) for k in ("v", "n", "registers", "comp", "is_x", "is_y")}
+            cols = {k: table.column(k) for k in ("v", "n", "registers", "comp", "is_x", "is_y", *carried)}
             comp = cols["comp"].combine_chunks().dictionary_encode()
             group = {"registers": np.frombuffer(b"".join(cols["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS), "n": cols["n"].to_numpy(), "comp": (comp.combine_chunks() if hasattr(comp, "combine_chunks") else comp).indices.to_numpy(), "is_x": cols["is_x"].to_numpy(zero_copy_only=False).astype(bool), "is_y": cols["is_y"].to_numpy(zero_copy_only=False).astype(bool)}
-            made = _name_partners(group, table.column("band")[0].as_py(), partners, least)
+            band = table.column("band")[0].as_py()
+            if carried:
+                held = cols["elements"].combine_chunks()
+                held = held.combine_chunks() if hasattr(held, "combine_chunks") else held
+                group["elements"] = held.flatten().to_numpy(), np.r_[0, np.cumsum(held.value_lengths().to_numpy())]
+                made = _join_tile(group, band, least, percent)
+            else:
+                made = _name_partners(group, band, least)
             if made is None:
                 return None
             a, b, e, more = made
@@ -303,46 +366,36 @@ def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, part
 
 def group_near(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, v, n of every row; v, label of every vertex that is linked with another)."""
-    least = percent / 100
     base = cut(sketches(docs, size), "near-base")
-    vertices = cut(base.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("registers").alias("registers")), "near-vertices")
+    vertices = cut(base.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), F.min("h").alias("h")), "near-vertices")
     crowded = bitmap(_bands(vertices, None).groupBy("id").agg(F.count("*").alias("k")).where("k >= 2"), "id")
     maybe = Cut(_bands(vertices, crowded), "near-bands")
     busy = maybe.df.groupBy("id").agg(F.count("*").alias("k")).where("k >= 2").select("id")
     members = cut(maybe.df.join(busy, "id"), "near-members")
     maybe.drop()
-    wanted = bitmap(members.select(F.expr("cast(conv(hex(substring(v, 1, 8)), 16, -10) as bigint)").alias("id")).distinct(), "id")
-    sets = cut(_full_sets(docs, size, wanted), "near-sets")
     labels = cut(members.select("v", F.col("v").alias("label")).distinct(), "near-labels")
-    failed = None
-    for k, partners in enumerate(PARTNERS):
-        named = Cut(_candidates(members, vertices, labels, partners, k == 0, least), "near-named")
-        state = named.df.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
-        crowds = members.groupBy("id").count().where(F.col("count") > TILE).limit(1).count() if k == 0 else 0
-        complete = not state["more"] and not crowds
-        if state["n"]:
-            ca, cb = F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")
-            pairs = named.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ca, cb, "e").distinct()
-            if failed is not None:
-                pairs = pairs.join(failed, ["a", "b"], "left_anti")
-            first = pairs
-            if partners is not None:
-                # of the pairs between two components the likeliest; one link joins them
-                pairs = cut(pairs, "near-pairs")
-                rank = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("e"), "a", "b"))
-                first = pairs.withColumn("rank", rank).where(F.col("rank") <= partners)
-            one, two = sets.select(F.col("v").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("v").alias("b"), F.col("elements").alias("eb"))
-            both = F.size(F.array_intersect("ea", "eb"))
-            tested = cut(first.join(one, "a").join(two, "b").select("a", "b", "ca", "cb", (100 * both >= percent * (F.size("ea") + F.size("eb") - both)).alias("linked")), "near-tested")
-            # what is put off for a likelier pair comes up again in the next round
-            complete = complete and (partners is None or pairs.count() == tested.count())
-            bad = tested.where("not linked").select("a", "b")
-            failed = bad if failed is None else failed.unionByName(bad)
-            joined = components(tested.where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("v").alias("label"), F.col("label").alias("_new"))
-            labels = cut(labels.join(joined, "label", "left").select("v", F.coalesce("_new", "label").alias("label")), "near-labels")
-        named.drop()
-        if complete:
-            break
+    # one text of each vertex stands for it
+    wanted = bitmap(labels.join(vertices.select("v", "h"), "v"), "h")
+    sets = cut(_full_sets(docs, size, wanted), "near-sets")
+
+    def joined(labels, links):
+        """Components joined by links (a, b) between their labels."""
+        found = components(links).select(F.col("v").alias("label"), F.col("label").alias("_new"))
+        return cut(labels.join(found, "label", "left").select("v", F.coalesce("_new", "label").alias("label")), "near-labels")
+
+    named = Cut(_candidates(members, vertices, labels, None, percent), "near-named")
+    state = named.df.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
+    crowds = members.groupBy("id").count().where(F.col("count") > TILE).limit(1).count()
+    if state["n"]:
+        pairs = named.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one, two = sets.select(F.col("v").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("v").alias("b"), F.col("elements").alias("eb"))
+        both = F.size(F.array_intersect("ea", "eb"))
+        labels = joined(labels, pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("ea") + F.size("eb") - both)).select("a", "b"))
+    named.drop()
+    if state["more"] or crowds:
+        links = Cut(_candidates(members, vertices, labels, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-links")
+        labels = joined(labels, links.df)
+        links.drop()
     return base.select("doc_id", "h", "v", "n"), labels
 
 

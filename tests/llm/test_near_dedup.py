@@ -51,9 +51,10 @@ def corpus(chains=60):
     return rows + [(None, texts[15]), (None, "alone in the world without id"), rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("tile", [2000, 7])
-def test_rows_equal_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, elements", [(2000, 4_000_000), (7, 4_000_000), (2000, 900)])
+def test_rows_equal_brute_force(spark, monkeypatch, tile, elements):
     monkeypatch.setattr(nd, "TILE", tile)
+    monkeypatch.setattr(nd, "ELEMENTS", elements)
     rows = corpus()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int").repartition(3)
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.with_components(docs, 4, 80).collect())
