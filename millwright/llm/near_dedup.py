@@ -230,17 +230,19 @@ def _possible(group: dict, band: int, least: float):
 
 def _name_partners(group: dict, band: int, least: float):
     """(a, b, estimate, whether there are others) of a tile: for each vertex its likeliest partner."""
-    out, more = [], False
+    seen, best, partner = 0, np.full(len(group["n"]), -1.0), np.full(len(group["n"]), -1)
     for i, j, e in _possible(group, band, least):
-        ends, others = np.concatenate([i, j]), np.concatenate([j, i])
-        order = np.lexsort((others, -np.concatenate([e, e]), ends))
-        start = np.r_[True, np.diff(ends[order]) != 0]
-        taken = np.unique(order[start] % len(i))
-        more |= len(taken) < len(i)
-        out.append((i[taken], j[taken], e[taken]))
-    if not out:
+        seen += len(i)
+        ends, others, es = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([e, e])
+        order = np.lexsort((others, -es, ends))
+        order = order[np.r_[True, np.diff(ends[order]) != 0]]
+        order = order[es[order] > best[ends[order]]]
+        best[ends[order]], partner[ends[order]] = es[order], others[order]
+    if not seen:
         return None
-    return *(np.concatenate(c) for c in zip(*out, strict=True)), more
+    a = np.flatnonzero(partner >= 0)
+    pairs, at = np.unique(np.sort(np.stack([a, partner[a]], 1), 1), axis=0, return_index=True)
+    return pairs[:, 0], pairs[:, 1], best[a[at]], len(pairs) < seen
 
 
 def _join_tile(group: dict, band: int, least: float, percent: int):
