@@ -8,7 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from millwright.functions import scalar
-from millwright.operators import cluster, robust, select, sequence
+from millwright.operators import cluster, consensus, resample, robust, select, sequence
 
 QUERIES, SQL = {}, {}
 
@@ -428,3 +428,29 @@ def natural_sort(spark, sf_dir):
 def json_flatten(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
     return t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k.cast("long")).alias("total"), F.count_if(k.isNull()).alias("bad"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem),
+c AS (SELECT DISTINCT a.l_orderkey, a.x AS x0, b.x AS x1, a.y AS y0, b.y AS y1, (b.y - a.y) / (b.x - a.x) AS m, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS b0
+      FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.x < b.x),
+s AS (SELECT c.l_orderkey, x0, x1, y0, y1, m, b0, count(*) AS n, round(avg(pow(p.y - (b0 + m * p.x), 2)), 9) AS mse, max(p.x) - min(p.x) AS span
+      FROM c JOIN p ON p.l_orderkey = c.l_orderkey AND abs(p.y - (b0 + m * p.x)) <= 2.5 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, mse, span DESC, x0, x1, y0, y1) AS rk FROM s)
+SELECT l_orderkey, round(m, 6) AS slope, round(b0, 6) AS intercept, n, round(mse, 6) AS mse, span FROM k WHERE rk = 1
+""")
+def consensus_line(spark, sf_dir):
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    found = consensus.consensus_line(lines, ["l_orderkey"], "l_linenumber", "l_quantity", 2.5)
+    return found.select("l_orderkey", r("slope").alias("slope"), r("intercept").alias("intercept"), F.col("n").cast("long").alias("n"), r("mse").alias("mse"), "span")
+
+
+@query()
+def gap_statistic(spark, sf_dir):
+    return resample.gap_statistic(t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("a"), F.count("*").alias("n")), ["a", "n"], references=50)
+
+
+@query()
+def bootstrap_mean(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", "o_totalprice")
+    return resample.bootstrap_mean(orders, ["o_orderpriority"], "o_custkey", "o_totalprice", repetitions=200)
