@@ -44,12 +44,17 @@ class Open:
 
 
 def chunks(data: np.ndarray):
-    """(bytes, first window's place in them, number of windows, offset in the text, text length)."""
+    """(bytes, first window's place in them, number of windows, offset in the text, text length, own range).
+
+    A chunk owns the anchors whose first window is in its own range. To see these whole it also holds
+    the window before the range and the ``WIDTH`` windows behind it, so no anchor is cut at a border.
+    """
     n = len(data)
     for at in range(0, max(0, n - SPAN + 1), CHUNK):
         low = max(0, at - SPAN)
-        windows = min(CHUNK, n - SPAN + 1 - at)
-        yield data[low : at + windows + 2 * SPAN], at - low, windows, low, n
+        before = min(at, 1)
+        windows = min(before + CHUNK + WIDTH, n - SPAN + 1 - at + before)
+        yield data[low : at + windows + 2 * SPAN], at - before - low, windows, low, n, (before, before + CHUNK)
 
 
 def scan(data: np.ndarray, level: str, known: Open, seen: set | None = None) -> dict[str, np.ndarray]:
@@ -62,7 +67,7 @@ def scan(data: np.ndarray, level: str, known: Open, seen: set | None = None) ->
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
 
-def _scan(b, first, windows, low, n, level, known, seen):
+def _scan(b, first, windows, low, n, owned, level, known, seen):
     hashes = Hashes(b)
     grams = hashes.of(np.arange(first, first + windows + WIDTH - 1), GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
@@ -70,6 +75,8 @@ def _scan(b, first, windows, low, n, level, known, seen):
     least = least.astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     count = np.diff(np.concatenate([start, [windows]]))
+    mine = (start >= owned[0]) & (start < owned[1])
+    start, count = start[mine], count[mine]
     gram = grams[least[start]]
     anchor = least[start] + first
     start = start + first

@@ -73,6 +73,37 @@ def test_false_positives_and_chunks_change_nothing(spark, monkeypatch):
         assert {*zip(every["start"].tolist(), every["id"].tolist())} == {*zip(parts["start"].tolist(), parts["id"].tolist())} if every else not parts
 
 
+def test_chunks_give_the_levels_of_the_whole_text(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(12)
+    for n in (400, 700, 1099, 1100, 1101, 1436, 6000):
+        data = np.frombuffer(bytes(rng.randrange(97, 123) for _ in range(n)), np.uint8)
+        for level in repeats.COLUMNS:
+            whole = repeats.scan(data, level, repeats.Open())
+            monkeypatch.setattr(repeats, "CHUNK", 700)
+            parts = repeats.scan(data, level, repeats.Open())
+            monkeypatch.undo()
+            assert all(whole[k].tolist() == parts[k].tolist() for k in whole)
+
+
+def test_chunked_texts_without_repeats_lose_nothing(spark, monkeypatch):
+    from pyspark.cloudpickle import register_pickle_by_value, unregister_pickle_by_value
+
+    rng = random.Random(13)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = prose(450)
+    texts = [prose(6000), prose(3001), prose(900) + shared + prose(700), prose(250) + shared + prose(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    register_pickle_by_value(repeats)  # the workers get CHUNK as it is set here
+    try:
+        got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removal_digests(docs).orderBy("doc_id").collect()]
+    finally:
+        unregister_pickle_by_value(repeats)
+    assert got == brute(texts) and got[0][1] == got[1][1] == 0
+
+
 def test_stage_returns_the_columns(spark):
     shared = "".join(random.Random(9).choice("abcdefgh ") for _ in range(600))
     docs = spark.createDataFrame([(1, "one " + shared, "en", 604), (2, "two " + shared + " end", "en", 608), (3, None, None, 0)], "doc_id long, text string, lang string, n_chars long")
