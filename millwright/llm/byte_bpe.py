@@ -16,6 +16,7 @@ Words travel as one row for each block and shard of the words, not as one row ea
 
 import base64
 import hashlib
+import re
 import zlib
 from functools import lru_cache
 
@@ -28,6 +29,9 @@ from millwright.llm.batches import pieces
 from millwright.llm.store import cut
 
 BLOCK_BYTES = 24 << 20
+#: a space with white space beside it, and the place before one that has none
+BESIDE = re.compile(r" (?:\s|(?<=\s ))")
+BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
 @lru_cache(maxsize=2)
@@ -45,17 +49,11 @@ def _encoding(ranks: str, pattern: str):
 def words(text: str) -> list[str]:
     """Words whose concatenation is the text; pre-tokens never span two of them.
 
-    A single space is the start of the next word. Around longer runs of white space, whose tokens depend
-    on what follows them, nothing is cut.
+    A space between two characters that are no white space is the start of the next word. Around other
+    white space, whose tokens depend on what follows them, nothing is cut.
     """
-    if "  " in text:
-        merged = [""]
-        for k, part in enumerate(text.split(" ")):
-            if k and part and not part[0].isspace() and merged[-1] and not merged[-1][-1].isspace():
-                merged.append(" " + part)
-            else:
-                merged[-1] += " " * bool(k) + part
-        return [w for w in merged if w]
+    if BESIDE.search(text):
+        return [w for w in BORDER.split(text) if w]
     first, *rest = text.split(" ")
     return ([first] if first else []) + [" " + w for w in rest]
 

@@ -37,6 +37,15 @@ def test_words_join_to_the_text_and_keep_the_ids():
             assert [i for w in ws for i in enc.encode_ordinary(w)] == enc.encode_ordinary(t)
 
 
+def test_words_around_alternating_white_space():
+    enc = library()
+    for t in ["a \xa0 \xa0 b", "a" + " \xa0" * 4 + " b", "a\xa0 \xa0 b c", "a \u2003 \xa0b \n c", " \xa0 \xa0 ", "x \xa0 \t y z"]:
+        ws = bb.words(t)
+        assert "".join(ws) == t
+        assert [i for w in ws for i in enc.encode_ordinary(w)] == enc.encode_ordinary(t)
+    assert bb.words("a b \xa0 c d") == ["a", " b \xa0 c", " d"]
+
+
 def test_rows_equal_the_library(spark):
     enc = library()
     rows = [(i, t, 1) for i, t in enumerate(texts())] + [(None, "null id", 1), (5, "again", 1), (5, "again", 1)]
