@@ -11,6 +11,7 @@ its vector's product with the difference of the class weights: ``BUCKETS`` float
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -26,19 +27,46 @@ BUCKETS = 1 << 18
 GRAMS = (2, 3)
 MAX_WORDS = 500_000
 AGAIN = "\x00again"
+LONG = 200  # characters; longer words go in pieces and are not remembered
+PIECE = 1 << 16  # n-grams of a long word that are made together
 
 
 def features(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams, word ends marked."""
     if word == AGAIN:
         return [zlib.crc32(b"again") % BUCKETS] * 8
-    marked = f"<{word[:200]}>".encode("utf-8", "surrogatepass")
+    marked = f"<{word}>".encode("utf-8", "surrogatepass")
     out = [zlib.crc32(b"w" + marked)]
     for n in GRAMS:
         out += [zlib.crc32(marked[i : i + n]) for i in range(len(marked) - n + 1)]
     return [x % BUCKETS for x in out]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ (table & np.uint32(1)) * np.uint32(0xEDB88320)
+    return table
+
+
+CRC = _crc_table()
+
+
+def long_features(word: str) -> Iterator[np.ndarray]:
+    """``features`` of a long word, whole, in arrays of bounded size."""
+    marked = f"<{word}>".encode("utf-8", "surrogatepass")
+    yield np.array([zlib.crc32(b"w" + marked) % BUCKETS], np.int64)
+    data = np.frombuffer(marked, np.uint8)
+    for at in range(0, len(data), PIECE):
+        for n in GRAMS:
+            part = data[at : at + PIECE + n - 1]
+            size = max(0, len(part) - n + 1)
+            made = np.full(size, 0xFFFFFFFF, np.uint32)
+            for k in range(n):
+                made = CRC[(made ^ part[k : k + size]) & np.uint32(255)] ^ (made >> np.uint32(8))
+            yield (~made % np.uint32(BUCKETS)).astype(np.int64)
+
+
 def tokens(text: str) -> tuple[list[str], int]:
     """Words of a whole text, and how many are equal to the word before them."""
     words = text.split()
@@ -57,11 +85,15 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     seen = Counter(words)
     if again:
         seen[AGAIN] = again
-    lists = list(map(features, seen))
-    if not lists:
+    if not seen:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    long = {w: seen.pop(w) for w in [w for w in seen if len(w) > LONG]}
+    lists = list(map(features, seen))
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     total = np.bincount(np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), np.repeat(np.fromiter(seen.values(), float, len(seen)), sizes), BUCKETS)
+    for word, n in long.items():
+        for part in long_features(word):
+            np.add.at(total, part, float(n))
     ids = np.flatnonzero(total)
     return ids.astype(np.int32), (total[ids] / total.sum()).astype(np.float32)
 
@@ -105,9 +137,12 @@ class _Words(dict):
 
     def __init__(self, scores: np.ndarray):
         super().__init__()
+        self.array = scores
         self.scores = scores.tolist()
 
     def __missing__(self, word: str) -> complex:
+        if len(word) > LONG:
+            return sum((complex(self.array[ids].sum(dtype=float), len(ids)) for ids in long_features(word)), 0j)
         ids = features(word)
         if len(self) > MAX_WORDS:
             self.clear()

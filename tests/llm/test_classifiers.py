@@ -54,6 +54,24 @@ def test_empty_tables(tables, run):
     assert run(docs.limit(5), labels.where("false")).count() == 5
 
 
+def test_long_words_count_whole(monkeypatch):
+    words = ["x" * 200, "ab" * 150, "日本語テキスト" * 60, "z" * 201 + "\ud800"]
+    model = q.Model(np.random.default_rng(1).normal(size=q.BUCKETS).astype(np.float32), 0.1)
+    for size in (q.PIECE, 50):
+        monkeypatch.setattr(q, "PIECE", size)
+        for w in words:
+            want = q.features(w)
+            assert sorted(want) == sorted(np.concatenate(list(q.long_features(w))).tolist())
+            ids, shares = q.bag(f"{w} b {w}")
+            every = np.bincount(2 * want + q.features("b"), minlength=q.BUCKETS)
+            assert ids.tolist() == np.flatnonzero(every).tolist() and np.allclose(shares, every[ids] / every.sum(), rtol=1e-5)
+            known = q._Words(model.scores)
+            z = model.scores[2 * want + q.features("b")].mean(dtype=float) + 0.1
+            assert abs(q.score(model, known, f"{w} b {w}") - 1 / (1 + np.exp(-z))) < 1e-6
+    assert q.score(model, known, "x" * 300 + "abc") != q.score(model, known, "x" * 300 + "xyz")
+    assert q.bag("")[0].size == q.bag(" \n")[0].size == 0
+
+
 def test_grammar_marks_scope_and_aim():
     machine, lexicon = tox.grammar(), tox.Lexicon({})
     found = lambda t: dict(tox.marks(t, lexicon, machine))
