@@ -1,14 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer reads a word and writes its class: insult, threat, target, negation, reported
-speech, other, or the end of a clause. Three rewriting transducers are composed over the classes:
+A lexical transducer reads a word and writes its class: insult, threat, target, subject, negation,
+reported speech, other, or the end of a clause. Rewriting transducers are composed over the classes:
 negation and reported speech mark what stands in their scope, a target marks what is aimed at
-somebody. The composition writes one mark for each insult or threat of a clause, and a document's
-score is a logistic function of the weights of its marked clauses, not of isolated words.
+somebody, a subject only the insults said of it. Clauses are read backwards too: a threat's target and
+a report may stand behind. Each insult or threat of a clause gets one mark, and a document's score is
+a logistic function of the weights of its marked clauses, not of isolated words.
 
 The insult lexicon is the one below plus word forms and stems that the labelled documents show, each
 with its log odds. The weights of the marks are fitted on the same labelled documents, drawn towards
-the prior weights where those show nothing.
+the prior weights where those show little; a mark that they never show keeps its prior score.
 """
 
 import math
@@ -26,16 +27,21 @@ from millwright.llm.labelled import held_out, sample
 
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown dumb imbecile".split()
 THREATS = "kill hurt destroy punch stab shoot beat".split()
-TARGETS = "you your u he she they them him her this these those that du sie ihr tu vous toi usted eres ellos".split()
+THREATS += "töten töte umbringen verletzen vernichten zerstören schlagen verprügeln erstechen erschießen".split()
+THREATS += "tuer tuerai blesser détruire frapper frapperai poignarder abattre tabasser".split()
+THREATS += "matar mataré matarte golpear golpearé herir destruir apuñalar disparar".split()
+TARGETS = "you your u them him her du ihr dich dir euch tu te vous toi ti usted".split()
+#: an insult may be said of these; before a threat they name who acts, not whom it is aimed at
+SUBJECTS = "he she they this these those that sie eres ellos".split()
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split()
 REPORTS = "said says say claimed claims wrote called calling quoted according sagte dit dijo".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = "o", "i", "t", "a", "n", "r", "."
-CLASSES = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END)
+OTHER, INSULT, THREAT, TARGET, SUBJECT, NEGATION, REPORT, END = "o", "i", "t", "a", "s", "n", "r", "."
+CLASSES = (OTHER, INSULT, THREAT, TARGET, SUBJECT, NEGATION, REPORT, END)
 #: what a clause can hold: insult or threat, aimed or not, in the scope of a negation or a report or not
 MARKS = [k + a + s for k, a, s in product("it", " a", " nr")]
-#: prior weights, in log odds: a plain insult is strong; negated, reported or unaimed threats are weak
-PRIOR = {m: {"i": 3.0, "t": 1.0}[m[0]] + (0.7 if m[1] == "a" else 0.0) + {" ": 0.0, "n": -2.0, "r": -2.0}[m[2]] for m in MARKS}
+#: prior weights, in log odds: a plain insult or an aimed threat is strong; negated, reported or unaimed threats are weak
+PRIOR = {m: {"i": 3.0, "t": 1.0}[m[0]] + ({"i": 0.7, "t": 2.7}[m[0]] if m[1] == "a" else 0.0) + {" ": 0.0, "n": -2.0, "r": -2.0}[m[2]] for m in MARKS}
 BIAS = -3.0
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:|\n]")
 STEM = range(3, 9)
@@ -68,8 +74,8 @@ class Transducer:
             yield made[1]
 
 
-def scope(trigger: str, mark: str, reach: int, place: int) -> Transducer:
-    """Puts ``mark`` at ``place`` of insults and threats within ``reach`` words after ``trigger``, in a clause."""
+def scope(trigger: str, mark: str, reach: int, place: int, kinds: tuple[str, ...] = (INSULT, THREAT)) -> Transducer:
+    """Puts ``mark`` at ``place`` of ``kinds`` within ``reach`` words after ``trigger``, in a clause."""
 
     def step(left, symbol):
         if symbol == END:
@@ -78,7 +84,7 @@ def scope(trigger: str, mark: str, reach: int, place: int) -> Transducer:
             return reach, symbol
         if symbol[0] in (INSULT, THREAT):
             full = symbol.ljust(3)
-            if left and full[place] == " ":
+            if left and full[place] == " " and symbol[0] in kinds:
                 full = full[:place] + mark + full[place + 1 :]
             return max(0, left - 1), full
         return max(0, left - 1), symbol
@@ -87,7 +93,12 @@ def scope(trigger: str, mark: str, reach: int, place: int) -> Transducer:
 
 
 def grammar() -> Transducer:
-    return scope(TARGET, "a", 6, 1).then(scope(NEGATION, "n", 3, 2)).then(scope(REPORT, "r", 12, 2))
+    return scope(TARGET, "a", 6, 1).then(scope(SUBJECT, "a", 6, 1, (INSULT,))).then(scope(NEGATION, "n", 3, 2)).then(scope(REPORT, "r", 12, 2))
+
+
+def backward() -> Transducer:
+    """What marks from behind; it reads the classes from the last to the first."""
+    return scope(TARGET, "a", 6, 1, (THREAT,)).then(scope(REPORT, "r", 12, 2))
 
 
 class Lexicon(dict):
@@ -96,7 +107,7 @@ class Lexicon(dict):
     def __init__(self, learned: dict[str, float]):
         super().__init__()
         self.learned = learned
-        self.fixed = {w: (c, 1.0) for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)) for w in words}
+        self.fixed = {w: (c, 1.0) for c, words in ((TARGET, TARGETS), (SUBJECT, SUBJECTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)) for w in words}
         self.fixed |= {x: (END, 0.0) for x in ".!?;:|\n"}
 
     def __missing__(self, word: str):
@@ -112,16 +123,17 @@ class Lexicon(dict):
         return made
 
 
-def marks(text: str, lexicon: Lexicon, machine: Transducer) -> Counter:
-    """Weights of the marked insults and threats of a whole text, by mark."""
+def marks(text: str, lexicon: Lexicon, machine: Transducer, behind: Transducer | None = None) -> Counter:
+    """Weights of the marked insults and threats of a whole text, by mark; with ``behind``, read both ways."""
     found: Counter = Counter()
     read = list(map(lexicon.__getitem__, TOKEN.findall(text)))
     classes = [c for c, _ in read]
     if INSULT not in classes and THREAT not in classes:
         return found
-    for (c, weight), out in zip(read, machine.run(classes), strict=True):
+    back = list(behind.run(reversed(classes)))[::-1] if behind else classes
+    for (c, weight), out, more in zip(read, machine.run(classes), back, strict=True):
         if c == INSULT or c == THREAT:
-            found[out.ljust(3)] += weight
+            found["".join(b if a == " " else a for a, b in zip(out.ljust(3), more.ljust(3), strict=True))] += weight
     return found
 
 
@@ -184,6 +196,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, weights: np.ndarray, pull: float =
         if np.abs(step).max() < 1e-8:
             break
     w[: len(MARKS)] = np.maximum(w[: len(MARKS)], 0)  # a match never speaks for a clean text
+    w[: len(MARKS)][~x.any(0)] += max(0.0, BIAS - w[-1])  # marks not seen keep their prior score, not only their weight
     return w[:-1], float(w[-1])
 
 
@@ -194,8 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (5, 0), each
     learned = learn_lexicon(rows.df, (n.get(1, 0), n.get(0, 0)))
 
     def make():
-        lexicon, machine = Lexicon(learned), grammar()
-        return lambda texts: {"x": [vector(marks(t, lexicon, machine)) for t in texts]}
+        lexicon, machine, behind = Lexicon(learned), grammar(), backward()
+        return lambda texts: {"x": [vector(marks(t, lexicon, machine, behind)) for t in texts]}
 
     got = map_texts(rows.df, "text", make, [T.StructField("x", T.ArrayType(T.DoubleType()))]).toPandas()
     rows.drop()
@@ -216,11 +229,11 @@ def with_score(docs: DataFrame, model, text: str = "text", name: str = "score",
 
     def make():
         learned, weights, bias = shared.value
-        lexicon, machine = Lexicon(learned), grammar()
+        lexicon, machine, behind = Lexicon(learned), grammar(), backward()
         w = weights.tolist()
 
         def score(t):
-            found = marks(t, lexicon, machine)
+            found = marks(t, lexicon, machine, behind)
             z = bias + (sum(a * b for a, b in zip(vector(found), w, strict=True)) if found else 0.0)
             return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 

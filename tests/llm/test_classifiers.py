@@ -83,6 +83,21 @@ def test_grammar_marks_scope_and_aim():
     assert found("") == found("a calm day") == {}
 
 
+def test_threats_are_aimed_from_either_side(spark, tables):
+    machine, behind, lexicon = tox.grammar(), tox.backward(), tox.Lexicon({})
+    found = lambda t: dict(tox.marks(t, lexicon, machine, behind))
+    assert found("I will kill you") == found("Ich werde dich töten") == found("Je vais te tuer") == found("A ti te voy a matar") == {"ta ": 1.0}
+    assert found("I will not kill you") == {"tan": 1.0}
+    assert found("I will kill you, he said") == {"tar": 1.0}
+    assert found("you are scum, he wrote") == {"iar": 1.0}
+    assert found("She beat the eggs. You look") == {"t  ": 1.0}
+    texts = ["I will kill you", "Ich werde dich töten", "Je vais te tuer", "Te voy a matar", "She beat the eggs", "I will not kill you", "I will kill you, he said"]
+    for labels in (tables[1], tables[1].where("false")):
+        model = tox.fit(tables[0], labels)
+        got = tox.with_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+        assert [r.score >= 0.5 for r in got] == [True] * 4 + [False] * 3
+
+
 def test_keep_good_returns_the_columns(tables):
     docs, labels = tables
     kept = q.keep_good(docs, labels)
