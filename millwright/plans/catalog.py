@@ -356,6 +356,11 @@ def silhouette_small(spark, sf_dir):
     return cluster.silhouette(points(spark, sf_dir).where("vec_id < 200"), "label", "vec_id", ["x", "y"]).withColumn("silhouette", r("silhouette"))
 
 
+@query()
+def silhouette(spark, sf_dir):
+    return cluster.silhouette(points(spark, sf_dir).repartition(24, "vec_id"), "label", "vec_id", ["x", "y"]).withColumn("silhouette", r("silhouette"))
+
+
 @query("""WITH l AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), h AS (SELECT CAST(least(255, floor((l_extendedprice - lo) / (hi - lo) * 256)) AS INTEGER) AS bin, count(*) AS n FROM lineitem, l GROUP BY 1),
 c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS w, sum(n * bin) OVER (ORDER BY bin) AS s, sum(n) OVER () AS tw, sum(n * bin) OVER () AS ts FROM h)
 SELECT bin FROM c WHERE w < tw ORDER BY w * 1.0 * (tw - w) * power(CAST(s AS DOUBLE) / w - CAST(ts - s AS DOUBLE) / (tw - w), 2) DESC, bin LIMIT 1""")
