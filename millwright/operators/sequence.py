@@ -4,8 +4,11 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millwright.functions.scalar import natural_key
+
 
 def sustained_run(df: DataFrame, series: list[str], position: str, flag, length: int = 4) -> DataFrame:
     """Per series the first position from which ``flag`` holds ``length`` times in a row; null if none."""
@@ -78,3 +81,12 @@ def hysteresis(df: DataFrame, series: list[str], position: str, value: str, low,
     r = r.withColumn("_run", F.col("_t") - F.row_number().over(w))
     got = r.groupBy(*series, "_run").agg(F.min("_t").alias("first"), F.max("_t").alias("last"), F.count("*").alias("rows"), F.max(value).alias("peak"), F.first("_high").alias("_h"))
     return got.where("peak >= _h").drop("_run", "_h")
+
+
+def natural_order(df: DataFrame, name: str, tie: str) -> DataFrame:
+    """``df`` with ``place``, from 1, in the natural order of ``name`` (nulls first), equal ones by ``tie``.
+
+    Sorted in ranges; each range's rows are numbered on from the count of the ranges before it.
+    """
+    ranked = df.orderBy(natural_key(name), tie).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return df.sparkSession.createDataFrame(ranked, T.StructType([*df.schema.fields, T.StructField("place", T.LongType())]))

@@ -429,6 +429,13 @@ def natural_sort(spark, sf_dir):
     return c.select("c_custkey", F.regexp_extract("c_name", r"(\d+)$", 1).cast("long").alias("number"))
 
 
+@query("""WITH c AS (SELECT c_custkey, lower(regexp_replace(c_name, '\\d+$', '')) AS stem, CAST(regexp_extract(c_name, '(\\d+)$', 1) AS BIGINT) AS number FROM customer)
+SELECT c_custkey, number, row_number() OVER (ORDER BY stem, number, c_custkey) AS place FROM c""")
+def natural_order(spark, sf_dir):
+    c = sequence.natural_order(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "c_custkey")
+    return c.select("c_custkey", F.regexp_extract("c_name", r"(\d+)$", 1).cast("long").alias("number"), "place")
+
+
 @query("SELECT event_type, count(*) AS n, sum(CAST(props->>'$.k' AS BIGINT)) AS total, count(*) FILTER (WHERE props->>'$.k' IS NULL) AS bad FROM events GROUP BY 1")
 def json_flatten(spark, sf_dir):
     k = F.get_json_object("props", "$.k")

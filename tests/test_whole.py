@@ -2,8 +2,9 @@
 
 import math
 import random
+import re
 
-from millwright.operators import cluster
+from millwright.operators import cluster, sequence
 from millwright.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -37,3 +38,19 @@ def test_silhouette_takes_all_embeddings(spark):
     got = catalog.queries()["silhouette"](spark, SF).first()
     assert "silhouette" not in catalog.oracle_sql()
     assert got.n == len(rows) > 200 and abs(got.silhouette - brute_silhouette(rows)) < 1e-6
+
+
+def test_natural_order_ranks_every_row(spark):
+    names = [None, "b", "a10", "a2", "A1", "a02", "a1b3", "a1b20", "10", "9", ""] + [f"n{i}" for i in range(300, 0, -1)]
+    df = spark.createDataFrame(list(enumerate(names)), "k long, name string").repartition(5)
+    got = sequence.natural_order(df, "name", "k").collect()
+    key = lambda n: [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.findall(r"\d+|\D+", (n or "").lower())]
+    want = sorted(range(len(names)), key=lambda i: (key(names[i]), i))
+    assert [r.k for r in sorted(got, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in got) == list(range(1, len(names) + 1))
+    assert sequence.natural_order(df.where("false"), "name", "k").count() == 0
+
+
+def test_natural_order_takes_all_customers(spark):
+    got = catalog.queries()["natural_order"](spark, SF)
+    assert got.count() == catalog.t(spark, SF, "customer").count() > 50
