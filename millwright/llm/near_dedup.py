@@ -404,9 +404,10 @@ def group_near(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataF
 def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     base, labels = group_near(docs, size, percent)
     rows = base.join(labels, "v", "left").withColumn("c", F.coalesce("label", "v"))
-    least = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    least = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first"))
     full = rows.join(least, "c", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return full.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return full.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("c").isNull() | (order == F.col("first"))).alias("first"))
 
 
 def with_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -417,15 +418,16 @@ def with_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     has one. Repeated rows are equal sets. Other columns are ignored; an empty table gives an empty
     result.
     """
-    return _judged(docs.select("doc_id", "text"), size, percent).drop("h")
+    return _judged(docs.select("doc_id", "text"), size, percent).drop("h", "first")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each component: that with its smallest id; rows with empty sets stay.
+    """One row of ``docs`` for each component: that with its smallest id that isn't null, of these that with
+    the least hash of its text; rows with empty sets stay.
 
     Of repeated rows one stays.
     """
-    kept = cut(_judged(docs.select("doc_id", "text"), size, percent).where("kept").groupBy("doc_id", "h").agg(F.count("*").alias("_rows")), "near-kept")
+    kept = cut(_judged(docs.select("doc_id", "text"), size, percent).where("first").groupBy("doc_id", "h").agg(F.count("*").alias("_rows")), "near-kept")
     kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_hash"), "_rows")
     found = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_hash")))
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -79,3 +79,14 @@ def test_sketch_estimates_and_merges():
     equal, more = np.array([(x == y).sum()]), np.array([(x > y).sum()])
     e, possible = nd.estimate(equal, more, nd.REGISTERS - equal - more, np.array([1000]), np.array([960]), 0.8)
     assert abs(e[0] - 900 / 1060) < 0.12 and possible[0]
+
+
+def test_keep_one_keeps_one_row_without_ids(spark):
+    base = [f"w{i}" for i in range(400)]
+    near = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in (50, 150, 250)]
+    other = [" ".join(f"{w}x" if i != k else "changed" for i, w in enumerate(base)) for k in (60, 160)]
+    rows = [(None, t) for t in near] + [(5, t) for t in other] + [(None, None), (None, "a lone text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in nd.keep_one(docs).collect()]
+    assert len([x for x in kept if x in rows[:3]]) == 1
+    assert len([x for x in kept if x in rows[3:5]]) == 1
