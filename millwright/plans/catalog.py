@@ -459,10 +459,10 @@ def consensus_line(spark, sf_dir):
 
 @query()
 def gap_statistic(spark, sf_dir):
-    return resample.gap_statistic(t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("a"), F.count("*").alias("n")), ["a", "n"], references=50)
+    return resample.gap_statistic(t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("a"), F.count("*").alias("n")), ["a", "n"])
 
 
 @query()
 def bootstrap_mean(spark, sf_dir):
     orders = t(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", "o_totalprice")
-    return resample.bootstrap_mean(orders, ["o_orderpriority"], "o_custkey", "o_totalprice", repetitions=200)
+    return resample.bootstrap_mean(orders, ["o_orderpriority"], "o_custkey", "o_totalprice")
