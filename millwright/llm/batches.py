@@ -11,6 +11,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH_CHARS = 8 << 20
 
 
+_resident: dict = {}
+
+
+def resident(key, make: Callable):
+    """What ``make()`` gave for ``key`` in this Python worker. Only the last key's is held.
+
+    Workers live on from stage to stage, so that tables of one operator would else stay in memory under
+    the next one.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def pieces(texts: pa.Array, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of ``texts`` that hold about ``limit`` bytes each, one row at least."""
     at, held = 0, 0

@@ -8,8 +8,9 @@ The outcome is a table of slots by length, so that every piece finds its sequenc
 the pieces of its length. Ranks come from counts by partition, not from one sorted group.
 """
 
+import os
+import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millwright.llm.batches import pieces
+from millwright.llm.batches import pieces, resident
 from millwright.llm.store import cut
 
 CAPACITY = 2048
 END_ID = 0
-MAX_WORDS = 1_200_000
+MAX_WORDS = 1_500_000  # words and pre-tokens that a worker keeps; a matter of memory, not of results
+BATCH_BYTES = 16 << 20
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -95,31 +97,76 @@ class Slots:
         return self.bin[at] + step // self.n[at], self.offset[at] + step % self.n[at] * length
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+#: words of these characters alone, and without "<|", are pre-tokenized here; all others by the library
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: the vocabulary's pre-tokens inside such a word, lower-cased
+UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^a-zßà-öø-ÿ0-9]+")
+JOINED = 400  # units that the library gets as one text
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit integers. The vocabulary's tokens never span a space
-    or a line break, so each distinct word between them is encoded once by a worker and kept."""
+    """Ids of whole texts as little-endian 32-bit integers.
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path)
+    The vocabulary's tokens never span a space or a line break, and each pre-token ends with an
+    end-of-word token. So texts become dictionary codes of the distinct words between spaces, each
+    distinct pre-token is encoded once and kept, and one ``take`` of the words' ids makes the texts'.
+    """
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        """Encodes units, each one pre-token, many in one text; they part after the end-of-word tokens."""
+        groups = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                parts = self._encode(group)
+                self.known.update((u, p.tobytes()) for u, p in zip(group, parts, strict=True))
+                continue
+            data, at = ids.tobytes(), 0
+            for unit, end in zip(group, (4 * ends).tolist(), strict=True):
+                self.known[unit] = data[at:end]
+                at = end
+
+    def words(self, distinct: list[str]) -> list[bytes]:
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        fresh = list({w for words in split for w in words}.difference(self.known))
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        known = self.known
+        fresh = [w for w in distinct if w not in known]
+        plain = [w for w in fresh if PLAIN.fullmatch(w) and "<|" not in w]
+        split = [UNITS.findall(w.lower()) for w in plain]
+        self._learn(list({u for us in split for u in us}.difference(known)))
+        for w, us in zip(plain, split, strict=True):
+            if w not in known:
+                known[w] = b"".join(map(known.__getitem__, us))
+        other = [w for w in fresh if w not in known]
+        for w, ids in zip(other, self._encode(other), strict=True):
+            known[w] = ids.tobytes()
+        return list(map(known.__getitem__, distinct))
+
+    def __call__(self, texts) -> list[bytes]:
+        """Of an Arrow array of strings without nulls, small enough for 32-bit offsets."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        made = pa.array(self.words(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(made.buffers()[1], np.int64)[: len(made) + 1] if len(made) else np.zeros(1, np.int64)
+        at = ends[split.offsets.to_numpy()].tolist()
+        data = memoryview(made.buffers()[2] or b"")
+        return [bytes(data[x:y]) for x, y in zip(at, at[1:], strict=False)]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int, row: str | None = None) -> DataFrame:
@@ -132,13 +179,14 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int, row: str | None = N
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode = resident(("encoder", tokenizer), lambda: Encoder(tokenizer))
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            for a, b in pieces(column):
+            column = batch.column(batch.schema.get_field_index("text")).fill_null("")
+            for a, b in pieces(column, BATCH_BYTES):
                 out = {k: [] for k in ("at", "piece", "start", "length", "crc", "rank")}
-                for i, ids in enumerate(encode([t or "" for t in column.slice(a, b - a).to_pylist()])):
+                for i, ids in enumerate(encode(column.slice(a, b - a))):
                     ids += end
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
