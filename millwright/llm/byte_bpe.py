@@ -2,9 +2,11 @@
 
 Pre-tokens never interact, so each distinct word of the corpus needs to be encoded once only:
 
-1. Texts are cut into words (a run between spaces with the space before it: one or more pre-tokens,
-   none of which spans its border). A block of documents keeps its distinct words once, and for each
-   document the positions: the words' numbers in the block, as variable-length bytes.
+1. Texts are cut into words, here the pattern's pre-tokens. (Runs between spaces are made distinct first,
+   and each distinct run is cut into its pre-tokens; a run with characters that two libraries' tables
+   might class differently stays whole, as one word of several pre-tokens.) A block of documents keeps
+   its distinct words once, and for each document the positions: the words' numbers in the block, as
+   variable-length bytes.
 2. The blocks' words are shuffled by word. Here every distinct word meets itself from all blocks and is
    encoded once. A frequent word comes once from each block, never once from each place.
 3. The ids go back to the blocks by block and word number, meet the positions there, and the
@@ -17,25 +19,31 @@ Words travel as one row for each block and shard of the words, not as one row ea
 import base64
 import hashlib
 import re
+import unicodedata
 import zlib
-from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.batches import pieces
+from millwright.llm.batches import pieces, resident
 from millwright.llm.store import cut
 
-BLOCK_BYTES = 24 << 20
+#: text bytes and distinct words from which a block is closed, and text bytes cut at a time
+BLOCK_BYTES, BLOCK_WORDS, PIECE_BYTES = 64 << 20, 1 << 20, 24 << 20
+MAX_WORDS = 1_000_000  # of one shard that are remembered; beyond, words are encoded again
 #: a space with white space beside it, and the place before one that has none
 BESIDE = re.compile(r" (?:\s|(?<=\s ))")
 BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
-@lru_cache(maxsize=2)
 def _encoding(ranks: str, pattern: str):
+    return resident(("tiktoken", ranks, pattern), lambda: _load(ranks, pattern))
+
+
+def _load(ranks: str, pattern: str):
     import tiktoken
 
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
@@ -47,9 +55,9 @@ def _encoding(ranks: str, pattern: str):
 
 
 def words(text: str) -> list[str]:
-    """Words whose concatenation is the text; pre-tokens never span two of them.
+    """Runs whose concatenation is the text; pre-tokens never span two of them.
 
-    A space between two characters that are no white space is the start of the next word. Around other
+    A space between two characters that are no white space is the start of the next run. Around other
     white space, whose tokens depend on what follows them, nothing is cut.
     """
     if BESIDE.search(text):
@@ -58,6 +66,98 @@ def words(text: str) -> list[str]:
     return ([first] if first else []) + [" " + w for w in rest]
 
 
+#: characters that may be classed otherwise by another table
+OTHER = re.compile("[^\n\t -~À-ÖØ-öø-ÿ]")
+
+
+class _Stable(dict):
+    """Whether a character has had the same category from Unicode 3.2 on, and is no doubtful white space."""
+
+    def __missing__(self, c: str) -> bool:
+        made = self[c] = unicodedata.ucd_3_2_0.category(c) == unicodedata.category(c) != "Cn" and not "\x1c" <= c <= "\x1f" and c not in "\x85\u180e\u200b"
+        return made
+
+
+_stable = _Stable()
+
+
+def pre_tokens(runs: list[str], pattern) -> tuple[list[str], np.ndarray]:
+    """The pre-tokens of all runs in order, and how many each has. Where their borders may be in doubt,
+    the run itself is the only one.
+
+    The runs' texts are cut as one: no pre-token spans two of them. The first one need not start with a
+    space, as the others do.
+    """
+    joined = "".join(runs)
+    ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+    doubtful = [m.start() for m in OTHER.finditer(joined) if not _stable[m[0]]]
+    # a lone space would join the white space before it
+    whole = np.unique(np.r_[np.searchsorted(ends, doubtful, "right"), [k for k, r in enumerate(runs) if r == " "]].astype(np.int64))
+    if len(whole):
+        parts, sizes, at = [], np.ones(len(runs), np.int64), 0
+        for k in [*whole.tolist(), len(runs)]:
+            if k > at:
+                found, sizes[at:k] = pre_tokens(runs[at:k], pattern)
+                parts += found
+            parts += runs[k : k + 1]
+            at = k + 1
+        return parts, sizes
+    found = pattern.findall(joined)
+    places = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    at = np.searchsorted(places, ends) + 1
+    if len(found) and (places[-1] != ends[-1] or (places[at - 1] != ends).any()):
+        raise ValueError("the pattern's matches span two runs, or leave something out")
+    return found, np.diff(np.r_[0, at]) if len(found) else np.zeros(len(runs), np.int64)
+
+
+class _Cutter:
+    """Numbers of the words of texts, in the order in which a block meets its distinct words."""
+
+    def __init__(self, pattern):
+        self.pattern, self.number = pattern, {}
+
+    def _numbers(self, flat: list[str]) -> np.ndarray:
+        import pyarrow as pa
+
+        if not flat:
+            return np.zeros(0, np.int64)
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        number = self.number
+        return np.array([number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out: list = [None] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if BESIDE.search(t):
+                out[i] = self._numbers(pre_tokens(words(t), self.pattern)[0])
+            else:
+                plain.append(i)
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        at, distinct = split.offsets.to_numpy(), coded.dictionary.to_pylist()
+        run = coded.indices.to_numpy().astype(np.int64)
+        # a text's first run has no space before it
+        first = list(dict.fromkeys(run[at[:-1]].tolist()))
+        place = np.zeros(len(distinct), np.int64)
+        place[first] = len(distinct) + np.arange(len(first))
+        run[at[:-1]] = place[run[at[:-1]]]
+        # what starts with white space is a text's first run only
+        found, size = pre_tokens([" " if w[:1].isspace() else " " + w for w in distinct], self.pattern)
+        alone = [pre_tokens([distinct[k]], self.pattern)[0] if distinct[k] else [] for k in first]
+        flat, size = self._numbers([*found, *chain.from_iterable(alone)]), np.r_[size, [len(x) for x in alone]].astype(np.int64)
+        starts, n = np.cumsum(size) - size, size[run]
+        ends = np.cumsum(n)
+        numbers = flat[np.repeat(starts[run] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.r_[0, ends][at].tolist()
+        for k, i in enumerate(plain):
+            out[i] = numbers[cuts[k] : cuts[k + 1]].astype(np.int32)
+        return out
+
+
 def pack_numbers(x: np.ndarray) -> bytes:
     """Numbers below 2**28 in 1 to 4 bytes of 7 bits each, the last one with the high bit."""
     x = x.astype(np.uint32)
@@ -94,49 +194,67 @@ BLOCKS = T.StructType(
 )
 
 
-def _blocks(docs: DataFrame, shards: int) -> DataFrame:
+def _blocks(docs: DataFrame, shards: int, pattern: str) -> DataFrame:
     """Rows of both kinds. A word's number in its block follows from (shard, number in the shard)."""
     import pyarrow as pa
 
+    types = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary())
+
+    def rows_of(name, ids, held, distinct):
+        block = name.intdigest() - (1 << 63)
+        often = np.zeros(len(distinct), np.int64)
+        for numbers in held:
+            often += np.bincount(numbers, minlength=len(distinct))
+        # words by shard, within it sorted: neighbours are alike, which packs well
+        shard = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % shards for w in distinct), np.int64, len(distinct))
+        alphabetic = np.empty(len(distinct), np.int64)
+        alphabetic[sorted(range(len(distinct)), key=distinct.__getitem__)] = np.arange(len(distinct))
+        by_shard = np.lexsort((alphabetic, shard))
+        by_count = np.argsort(-often, kind="stable")  # positions use small numbers for frequent words
+        new = np.empty(len(distinct), np.int64)
+        new[by_count] = np.arange(len(distinct))
+        check = zlib.crc32("\0".join(distinct[i] for i in by_count).encode("utf-8", "surrogatepass"))
+        sizes = np.bincount(shard, minlength=shards)
+        at = 0
+        for s in np.flatnonzero(sizes):
+            own = by_shard[at : at + sizes[s]]
+            at += sizes[s]
+            yield block, int(s), [distinct[i] for i in own], None, check, pack_numbers(new[own])
+        for doc_id, numbers in zip(ids, held, strict=True):
+            yield block, None, None, doc_id, check, pack_numbers(new[numbers])
+
     def run(batches):
+        import regex
         import xxhash
 
+        compiled = regex.compile(pattern)
+
+        def close():
+            rows = rows_of(name, ids, held, list(cut_texts.number))
+            while some := list(islice(rows, 2000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=BLOCKS.names)
+
+        def fresh():
+            return _Cutter(compiled), xxhash.xxh3_64(), [], [], 0
+
+        cut_texts, name, ids, held, size = fresh()
         for batch in batches:
-            column, ids = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "doc_id"))
-            for a, b in pieces(column, BLOCK_BYTES):
+            column, own_ids = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "doc_id"))
+            for a, b in pieces(column, PIECE_BYTES):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
-                split = [words(t) for t in texts]
-                # named by its content: the same when it is made again, in whatever task
-                name = xxhash.xxh3_64(repr(ids.slice(a, b - a).to_pylist()).encode())
+                here = own_ids.slice(a, b - a).to_pylist()
+                # a block is named by its content: the same when it is made again, in whatever task
+                name.update(repr(here).encode())
                 for t in texts:
                     name.update(t.encode("utf-8", "surrogatepass"))
-                block = name.intdigest() - (1 << 63)
-                flat = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
-                distinct = flat.dictionary.to_pylist()
-                # words by shard, within it sorted: neighbours are alike, which packs well
-                number = flat.indices.to_numpy()
-                often = np.bincount(number, minlength=len(distinct))
-                shard = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % shards for w in distinct), np.int64, len(distinct))
-                alphabetic = np.empty(len(distinct), np.int64)
-                alphabetic[sorted(range(len(distinct)), key=distinct.__getitem__)] = np.arange(len(distinct))
-                by_shard = np.lexsort((alphabetic, shard))
-                by_count = np.argsort(-often, kind="stable")  # positions use small numbers for frequent words
-                new = np.empty(len(distinct), np.int64)
-                new[by_count] = np.arange(len(distinct))
-                places = new[number]
-                check = zlib.crc32("\0".join(distinct[i] for i in by_count).encode("utf-8", "surrogatepass"))
-                sizes = np.bincount(shard, minlength=shards)
-                at, rows = 0, []
-                for s in np.flatnonzero(sizes):
-                    own = by_shard[at : at + sizes[s]]
-                    at += sizes[s]
-                    rows.append((block, int(s), [distinct[i] for i in own], None, check, pack_numbers(new[own])))
-                at = 0
-                for k, ws in enumerate(split):
-                    rows.append((block, None, None, ids[a + k].as_py(), check, pack_numbers(places[at : at + len(ws)])))
-                    at += len(ws)
-                for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=BLOCKS.names)
+                ids += here
+                held += cut_texts(texts)
+                size += sum(map(len, texts))
+                if size >= BLOCK_BYTES or len(cut_texts.number) >= BLOCK_WORDS:
+                    yield from close()
+                    cut_texts, name, ids, held, size = fresh()
+        if ids:
+            yield from close()
 
     return docs.mapInArrow(run, BLOCKS)
 
@@ -153,17 +271,20 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.Str
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 4 * parts)
+    blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 4 * parts, pattern)
     blocks = blocks if stable else cut(blocks, "bpe-blocks")
     meet = T.StructType([T.StructField("block", T.LongType()), T.StructField("check", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("is_doc", T.BooleanType())])
 
     def once(batches):
-        """Words of a shard to ids; every distinct word is encoded when first met in the task."""
+        """Words of a shard to ids; every distinct word is encoded when first met, and forgotten after its shard."""
         encoding, _ = _encoding(ranks, pattern)
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, list[int]] = {}
+        shard = None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
+                if row["shard"] != shard or len(known) > MAX_WORDS:
+                    known, shard = {}, row["shard"]
                 fresh = [w for w in row["words"] if w not in known]
                 for w, ids in zip(fresh, map(encoding.encode_ordinary, fresh), strict=True):
                     known[w] = ids
@@ -174,7 +295,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.Str
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=meet.names)
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-    encoded = blocks.where("shard is not null").select("block", "check", "shard", "words", "places").repartition(parts, "shard").mapInArrow(once, meet)
+    encoded = blocks.where("shard is not null").select("block", "check", "shard", "words", "places").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(once, meet)
     documents = blocks.where("shard is null").select("block", "check", "doc_id", "places", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sizes"), F.lit(True).alias("is_doc"))
     together = encoded.unionByName(documents).repartition(parts, "block").sortWithinPartitions("block", "is_doc")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *fields])

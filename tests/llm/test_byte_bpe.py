@@ -61,3 +61,32 @@ def test_rows_equal_the_library(spark):
     assert twice == got
     assert bb.encode_decode(docs.where("false"), RANKS, P.PATTERN).count() == 0
     assert bb.ids_of(docs.where("doc_id = 5"), RANKS, P.PATTERN).count() == 3
+
+
+def test_pre_tokens_are_the_library_s():
+    import regex
+
+    enc, pattern = library(), regex.compile(P.PATTERN)
+    rng = random.Random(8)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "É", "ß", "日本", "한", "ж", "1", "²", "٣", "'s", "'", "_", "!", "\n", "\xa0", "\x1c", "\x85", "᠎", "🙂", "́", " x"]) for _ in range(rng.randrange(12)))
+        runs = bb.words(t)
+        found, sizes = bb.pre_tokens(runs, pattern)
+        assert sum(sizes) == len(found)
+        for run, n in zip(runs, sizes, strict=True):
+            own, found = found[:n], found[n:]
+            assert "".join(own) == run
+            assert [i for w in own for i in enc.encode_ordinary(w)] == enc.encode_ordinary(run)
+    assert bb.pre_tokens([" l'été,\n\n12"], pattern)[0] == [" l", "'", "été", ",", "\n", "\n", "12"]
+    assert bb.pre_tokens(["日本。語"], pattern)[0] == ["日本", "。", "語"]
+    assert bb.pre_tokens([], pattern)[0] == []
+
+
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "test-blocks")
+    want = sorted(tuple(r) for r in bb.encode_decode(docs, RANKS, P.PATTERN, stable=True).collect())
+    shards = {r.shard for r in bb._blocks(docs, 8, P.PATTERN).collect()}
+    assert shards == {None, *range(8)}
+    monkeypatch.setattr(bb, "MAX_WORDS", 3)
+    assert sorted(tuple(r) for r in bb.encode_decode(docs, RANKS, P.PATTERN).collect()) == want
