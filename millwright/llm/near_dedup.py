@@ -16,13 +16,12 @@ tiles of bounded numbers of vertices and of elements. So no link between compone
 limit, and links inside one component need no confirming.
 """
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millwright.llm.batches import resident
 from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.components import components
 from millwright.llm.rolling import R, mix
@@ -32,18 +31,15 @@ BANDS, ROWS = 27, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: vertices and set elements of one side of a tile
-TILE, ELEMENTS = 2000, 4_000_000
+TILE, ELEMENTS = 2000, 2_000_000
+#: elements that are compared with one set at a time
+BLOCK = 1_000_000
 #: likelihood ratio up to which a pair may reach the threshold: 5 standard deviations
 DOUBT = 25.0
 MAX_WORDS = 500_000
 _A = np.random.default_rng(5).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=1)
-def _known() -> dict[bytes, int]:
-    return {}
-
-
 def shingles(text: str, size: int) -> np.ndarray:
     """The distinct 64-bit hashes, sorted, of the ``size``-word shingles; of a shorter text, of all words."""
     import xxhash
@@ -51,7 +47,7 @@ def shingles(text: str, size: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    known = _known()
+    known = resident("shingle words", dict)
     if len(known) > MAX_WORDS:
         known.clear()
     for w in set(words).difference(known):
@@ -245,15 +241,23 @@ def _name_partners(group: dict, band: int, least: float):
     return pairs[:, 0], pairs[:, 1], best[a[at]], len(pairs) < seen
 
 
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``others`` has in common with ``own``; all are sorted and distinct."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(own, flat)
+    hit = own[np.minimum(at, len(own) - 1)] == flat
+    return np.add.reduceat(hit, np.r_[0, np.cumsum([len(o) for o in others])[:-1]], dtype=np.int64)
+
+
 def _join_tile(group: dict, band: int, least: float, percent: int):
     """(a, b, estimate, False) of a tile: links, confirmed on the full sets, that join its components.
 
     Pairs within what the tile has already joined are passed over, so there are fewer links than
-    components.
+    components. Beside the sets themselves it holds one block of ``BLOCK`` elements, or one set.
     """
     values, offsets = group["elements"]
-    codes = np.unique(values, return_inverse=True)[1]
-    mark, n, comp = np.zeros(len(codes), bool), np.diff(offsets), group["comp"]
+    values = values.view(np.uint64)
+    n, comp = np.diff(offsets), group["comp"]
     root = np.arange(comp.max() + 1)
     out = []
     for i, j, e in _possible(group, band, least):
@@ -262,23 +266,18 @@ def _join_tile(group: dict, band: int, least: float, percent: int):
             x, ys, es = i[a], j[a:b], e[a:b]
             open_ = root[comp[ys]] != root[comp[x]]
             ys, es = ys[open_], es[open_]
-            own = codes[offsets[x] : offsets[x + 1]]
-            mark[own] = True
+            own = values[offsets[x] : offsets[x + 1]]
             at = 0
             while at < len(ys):
-                # partners in blocks of bounded size, at least one
-                upto = max(at + 1, int(np.searchsorted(np.cumsum(n[ys[at:]]), ELEMENTS)) + at)
+                upto = max(at + 1, int(np.searchsorted(np.cumsum(n[ys[at:]]), BLOCK)) + at)
                 some = ys[at:upto]
-                starts = np.r_[0, np.cumsum(n[some])[:-1]]
-                places = np.arange(n[some].sum()) + np.repeat(offsets[some] - starts, n[some])
-                shared = np.add.reduceat(mark[codes[places]], starts, dtype=np.int64)
+                shared = _shared(own, [values[offsets[y] : offsets[y + 1]] for y in some])
                 for k in np.flatnonzero(100 * shared >= percent * (n[x] + n[some] - shared)):
                     one, two = root[comp[x]], root[comp[some[k]]]
                     if one != two:
                         root[root == two] = one
                         out.append((x, some[k], es[at + k]))
                 at = upto
-            mark[own] = False
     if not out:
         return None
     a, b, e = zip(*out, strict=True)
