@@ -128,12 +128,68 @@ def test_rules_equal_brute_force(spark):
     assert rules.keep_good(docs).columns == docs.columns
 
 
+def plain_em(rows, rounds):
+    """The mixture fitted document by document, with plain loops and no log odds."""
+    k = len(rows[0])
+    good = [(sum(v == 1 for v in r) + 1) / (sum(v != 0 for v in r) + 2) for r in rows]
+    for _ in range(rounds):
+        share = (sum(good) + 1) / (len(rows) + 2)
+        blame = []
+        for weights, (votes, blamed) in ((good, rules.BEFORE["good"]), ([1 - g for g in good], rules.BEFORE["bad"])):
+            blame.append([(blamed + sum(w for w, r in zip(weights, rows) if r[j] == -1)) / (votes + sum(w for w, r in zip(weights, rows) if r[j] != 0)) for j in range(k)])
+        good = []
+        for r in rows:
+            p, q_ = share, 1 - share
+            for j, v in enumerate(r):
+                if v:
+                    p *= blame[0][j] if v == -1 else 1 - blame[0][j]
+                    q_ *= blame[1][j] if v == -1 else 1 - blame[1][j]
+            good.append(p / (p + q_))
+    return share, blame, good
+
+
+def votes_of(n, seed=2):
+    """Votes of six rules, two of them on one kind of fault each, one that blames at random."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        fault = rng.choice("abc") if rng.random() < 0.2 else ""
+        row = [-1 if (fault == kind) != (rng.random() < 0.02) else 1 for kind in "aabbc"] + [rng.choice((-1, 1))]
+        rows.append([0 if rng.random() < 0.1 else v for v in row])
+    return np.array(rows)
+
+
 def test_fit_equals_a_plain_em():
-    rng = np.random.default_rng(2)
-    rows = rng.integers(-1, 2, (300, 3))
+    rows = votes_of(300)
     patterns, counts = np.unique(rows, axis=0, return_counts=True)
     share, chance = rules.fit(patterns, counts.astype(float))
-    post = {tuple(p): x for p, x in zip(patterns, rules.posterior(patterns, share, chance))}
-    one_by_one, same = rules.fit(rows, np.ones(300))
-    assert abs(share - one_by_one) < 1e-6 and np.allclose(chance, same, atol=1e-6)
-    assert all(0 < x < 1 for x in post.values())
+    want_share, want_chance, want = plain_em(rows.tolist(), 400)
+    assert abs(share - want_share) < 1e-5 and np.allclose(chance, want_chance, atol=1e-5)
+    assert np.allclose(rules.posterior(rows, share, chance), want, atol=1e-4)
+
+
+def test_verdict_is_not_all_must_pass(spark):
+    rng = random.Random(4)
+    clean = [" ".join(rng.choices(CLEAN, k=60)) for _ in range(300)]
+    fine = [" ".join(rng.choices(CLEAN, k=30)) + "\na line\na line\n" + " ".join(rng.choices(CLEAN, k=30)) for _ in range(30)]
+    junk = [" ".join(w + "$$$" for w in rng.choices(CLEAN, k=60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(clean + fine + junk)), "doc_id long, text string")
+    table = rules.with_facts(docs)
+    blamed = {r.doc_id for r in table.select("doc_id", *(v.alias(k) for k, v in rules.rules().items())).collect() if -1 in r[1:]}
+    got = {r.doc_id: r.kept for r in rules.rule_quality(docs).collect()}
+    assert set(range(300, 330)) <= blamed
+    assert all(got[i] for i in range(330)) and not any(got[i] for i in range(330, 370))
+
+
+def test_a_corpus_without_bad_documents_is_kept(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(CLEAN, k=80))) for i in range(200)], "doc_id long, text string")
+    assert all(r.kept for r in rules.rule_quality(docs).collect())
+
+
+def test_rules_stage_on_odd_rows(spark):
+    text = " ".join(random.Random(7).choices(CLEAN, k=80))
+    rows = [(None, text, 1), (1, None, 1), (2, "", 2), (3, text, None), (3, text, None), (4, text + " word " * 100_000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
+    assert sorted((str(r.doc_id), r.n_words) for r in rules.keep_good(docs).collect()) == [("3", None), ("3", None), ("None", 1)]
+    assert rules.keep_good(docs.where("false")).count() == 0
