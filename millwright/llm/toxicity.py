@@ -1,15 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer reads a word and writes its class: insult, threat, target, subject, negation,
-reported speech, other, or the end of a clause. Rewriting transducers are composed over the classes:
-negation and reported speech mark what stands in their scope, a target marks what is aimed at
-somebody, a subject only the insults said of it. Clauses are read backwards too: a threat's target and
-a report may stand behind. Each insult or threat of a clause gets one mark, and a document's score is
-a logistic function of the weights of its marked clauses, not of isolated words.
+A lexical transducer reads a word and writes its class: insult, verb of harm, target, subject, copula,
+modal, negation, reported speech, quotation mark, other, or the end of a clause. Rewriting transducers
+are composed over the classes, one clause pattern each:
+
+* predication: target or subject, copula, then an insult ("you are a ...")
+* address: an insult beside a target ("you ...", "... like you")
+* threat: a modal or the start of the clause, then a verb of harm, and a target on either side of it
+* negation, reported speech and quotation: what stands in their scope weighs less
+
+Clauses are read backwards too, for what stands behind. Each insult or verb of harm ends up as one
+matched clause pattern, and a document's score is a logistic function of the weights of its patterns.
+A verb of harm without its clause weighs nothing. An insult without a clause is a pattern of its own,
+the weakest: by the prior weights it stays below one half, and only labelled documents can raise it. In
+every fit a fuller pattern weighs more than a barer one, and a negated or reported one less.
 
 The insult lexicon is the one below plus word forms and stems that the labelled documents show, each
-with its log odds. The weights of the marks are fitted on the same labelled documents, drawn towards
-the prior weights where those show little; a mark that they never show keeps its prior score.
+with its log odds. The weights of the patterns are fitted on the same labelled documents, drawn
+towards the prior weights where those show little.
 """
 
 import math
@@ -25,25 +33,36 @@ from pyspark.sql import types as T
 from millwright.llm.batches import map_texts
 from millwright.llm.labelled import held_out, sample
 
+# fixed values: the words of the classes
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown dumb imbecile".split()
-THREATS = "kill hurt destroy punch stab shoot beat".split()
-THREATS += "töten töte umbringen verletzen vernichten zerstören schlagen verprügeln erstechen erschießen".split()
-THREATS += "tuer tuerai blesser détruire frapper frapperai poignarder abattre tabasser".split()
-THREATS += "matar mataré matarte golpear golpearé herir destruir apuñalar disparar".split()
-TARGETS = "you your u them him her du ihr dich dir euch tu te vous toi ti usted".split()
-#: an insult may be said of these; before a threat they name who acts, not whom it is aimed at
+HARMS = "kill hurt destroy punch stab shoot beat".split()
+HARMS += "töten töte umbringen verletzen vernichten zerstören schlagen verprügeln erstechen erschießen".split()
+HARMS += "tuer blesser détruire frapper poignarder abattre tabasser".split()
+HARMS += "matar golpear herir destruir apuñalar disparar".split()
+#: verbs of harm whose ending is the modal
+FUTURES = "tuerai blesserai détruirai frapperai poignarderai tabasserai mataré matarte golpearé destruiré".split()
+TARGETS = "you your u them him her yourself yourselves du ihr dich dir euch tu te vous toi ti usted".split()
+#: an insult may be said of these; before a verb of harm they name who acts, not whom it is aimed at
 SUBJECTS = "he she they this these those that sie eres ellos".split()
-NEGATIONS = "not no never isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca".split()
+COPULAS = "are is were was am be being bist ist sind seid est êtes sont son".split()
+#: target and copula in one word
+ADDRESSES = "you're they're he's she's eres".split()
+MODALS = "will shall gonna going want must should i'll we'll they'll he'll werde werden wirst will soll muss vais va allons voy vamos quiero".split()
+NEGATIONS = "not no never isn't aren't wasn't don't doesn't won't nicht kein keine nie pas jamais nunca".split()
 REPORTS = "said says say claimed claims wrote called calling quoted according sagte dit dijo".split()
-
-OTHER, INSULT, THREAT, TARGET, SUBJECT, NEGATION, REPORT, END = "o", "i", "t", "a", "s", "n", "r", "."
-CLASSES = (OTHER, INSULT, THREAT, TARGET, SUBJECT, NEGATION, REPORT, END)
-#: what a clause can hold: insult or threat, aimed or not, in the scope of a negation or a report or not
-MARKS = [k + a + s for k, a, s in product("it", " a", " nr")]
-#: prior weights, in log odds: a plain insult or an aimed threat is strong; negated, reported or unaimed threats are weak
-PRIOR = {m: {"i": 3.0, "t": 1.0}[m[0]] + ({"i": 0.7, "t": 2.7}[m[0]] if m[1] == "a" else 0.0) + {" ": 0.0, "n": -2.0, "r": -2.0}[m[2]] for m in MARKS}
+QUOTES = list("\"“”„«»")
+ENDS = list(".!?;:|\n")
+
+OTHER, INSULT, HARM, TARGET, SUBJECT, COPULA, ADDRESS, MODAL, NEGATION, REPORT, QUOTE, END = "oitascdmnrq."
+CLASSES = (OTHER, INSULT, HARM, TARGET, SUBJECT, COPULA, ADDRESS, MODAL, NEGATION, REPORT, QUOTE, END)
+#: patterns: an insult or a verb of harm; alone, aimed, or in a full clause; plain, negated or reported
+MARKS = [k + a + s for k, a, s in product("it", " ac", " nr")]
+#: prior weights, in log odds
+_FORMS = {"i ": 1.5, "ia": 3.7, "ic": 4.7, "t ": 0.0, "ta": 1.5, "tc": 4.2}
+SCOPE_COST, STEP = 2.5, 0.5
+PRIOR = {m: max(0.0, _FORMS[m[:2]] - (SCOPE_COST if m[2] != " " else 0.0)) for m in MARKS}
 BIAS = -3.0
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:|\n]")
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:|\n\"“”„«»]")
 STEM = range(3, 9)
 
 
@@ -74,7 +93,15 @@ class Transducer:
             yield made[1]
 
 
-def scope(trigger: str, mark: str, reach: int, place: int, kinds: tuple[str, ...] = (INSULT, THREAT)) -> Transducer:
+# Symbols of insults and verbs of harm carry their marks: kind, aim, link (copula or modal), scope.
+
+
+def _marked(symbol: str, place: int, mark: str) -> str:
+    full = symbol.ljust(4)
+    return full if full[place] != " " else full[:place] + mark + full[place + 1 :]
+
+
+def scope(trigger: str, mark: str, reach: int, place: int, kinds: tuple[str, ...] = (INSULT, HARM)) -> Transducer:
     """Puts ``mark`` at ``place`` of ``kinds`` within ``reach`` words after ``trigger``, in a clause."""
 
     def step(left, symbol):
@@ -82,23 +109,68 @@ def scope(trigger: str, mark: str, reach: int, place: int, kinds: tuple[str, ...
             return 0, symbol
         if symbol == trigger:
             return reach, symbol
-        if symbol[0] in (INSULT, THREAT):
-            full = symbol.ljust(3)
-            if left and full[place] == " " and symbol[0] in kinds:
-                full = full[:place] + mark + full[place + 1 :]
-            return max(0, left - 1), full
-        return max(0, left - 1), symbol
+        return max(0, left - 1), _marked(symbol, place, mark) if left and symbol[0] in kinds else symbol
 
     return Transducer(0, step)
 
 
+def predication(gap: int = 3, reach: int = 5) -> Transducer:
+    """Target or subject, then within ``gap`` words a copula, then within ``reach`` words an insult: link ``c``."""
+
+    def step(state, symbol):
+        who, linked = state
+        if symbol == END:
+            return (0, 0), symbol
+        if symbol == ADDRESS:
+            return (0, reach), symbol
+        if symbol == COPULA and who:
+            return (0, reach), symbol
+        after = gap if symbol in (TARGET, SUBJECT) else max(0, who - 1), max(0, linked - 1)
+        return after, _marked(_marked(symbol, 1, "a"), 2, "c") if linked and symbol[0] == INSULT else symbol
+
+    return Transducer((0, 0), step)
+
+
+def opening() -> Transducer:
+    """A verb of harm that starts a clause is a demand: link ``m``."""
+
+    def step(inside, symbol):
+        if symbol in (END, QUOTE):
+            return False, symbol
+        return True, _marked(symbol, 2, "m") if not inside and symbol[0] == HARM else symbol
+
+    return Transducer(False, step)
+
+
+def quotation() -> Transducer:
+    """What stands between two quotation marks of a clause is reported."""
+
+    def step(open_, symbol):
+        if symbol == END:
+            return False, symbol
+        if symbol == QUOTE:
+            return not open_, symbol
+        return open_, _marked(symbol, 3, "r") if open_ and symbol[0] in (INSULT, HARM) else symbol
+
+    return Transducer(False, step)
+
+
 def grammar() -> Transducer:
-    return scope(TARGET, "a", 6, 1).then(scope(SUBJECT, "a", 6, 1, (INSULT,))).then(scope(NEGATION, "n", 3, 2)).then(scope(REPORT, "r", 12, 2))
+    aimed = scope(TARGET, "a", 2, 1, (INSULT,)).then(scope(TARGET, "a", 6, 1, (HARM,)))
+    linked = predication().then(scope(MODAL, "m", 4, 2, (HARM,))).then(opening())
+    return aimed.then(linked).then(scope(NEGATION, "n", 3, 3)).then(scope(REPORT, "r", 12, 3)).then(quotation())
 
 
 def backward() -> Transducer:
     """What marks from behind; it reads the classes from the last to the first."""
-    return scope(TARGET, "a", 6, 1, (THREAT,)).then(scope(REPORT, "r", 12, 2))
+    return scope(TARGET, "a", 3, 1, (INSULT,)).then(scope(TARGET, "a", 6, 1, (HARM,))).then(scope(REPORT, "r", 12, 3))
+
+
+def pattern(symbol: str) -> str:
+    """The clause pattern of a marked symbol: one of ``MARKS``."""
+    kind, aim, link, what = symbol.ljust(4)
+    form = aim if kind == HARM and link != "m" or link == " " else "c" if aim == "a" else " "
+    return kind + form + what
 
 
 class Lexicon(dict):
@@ -107,15 +179,14 @@ class Lexicon(dict):
     def __init__(self, learned: dict[str, float]):
         super().__init__()
         self.learned = learned
-        self.fixed = {w: (c, 1.0) for c, words in ((TARGET, TARGETS), (SUBJECT, SUBJECTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)) for w in words}
-        self.fixed |= {x: (END, 0.0) for x in ".!?;:|\n"}
+        self.fixed = {w: (c, 1.0) for c, words in ((TARGET, TARGETS), (SUBJECT, SUBJECTS), (COPULA, COPULAS), (ADDRESS, ADDRESSES), (MODAL, MODALS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (HARM, HARMS), ("t m", FUTURES), (INSULT, INSULTS), (QUOTE, QUOTES), (END, ENDS)) for w in words}
 
     def __missing__(self, word: str):
         if len(self) > 500_000:
             self.clear()
-        low = word.lower()
+        low = word.lower().replace("’", "'")
         made = self.fixed.get(low)
-        if made is None or made[0] == THREAT or made[0] == INSULT:
+        if made is None or made[0][0] in (HARM, INSULT):
             weight = max((self.learned[k] for k in (low + "$", *(low[:n] for n in STEM if n <= len(low))) if k in self.learned), default=None)
             if weight is not None:
                 made = (INSULT, weight)
@@ -123,17 +194,17 @@ class Lexicon(dict):
         return made
 
 
-def marks(text: str, lexicon: Lexicon, machine: Transducer, behind: Transducer | None = None) -> Counter:
-    """Weights of the marked insults and threats of a whole text, by mark; with ``behind``, read both ways."""
+def marks(text: str, lexicon: Lexicon, machine: Transducer, behind: Transducer) -> Counter:
+    """Weights of the clause patterns of a whole text, read both ways."""
     found: Counter = Counter()
     read = list(map(lexicon.__getitem__, TOKEN.findall(text)))
     classes = [c for c, _ in read]
-    if INSULT not in classes and THREAT not in classes:
+    if INSULT not in classes and HARM not in classes and "t m" not in classes:
         return found
-    back = list(behind.run(reversed(classes)))[::-1] if behind else classes
+    back = list(behind.run(reversed(classes)))[::-1]
     for (c, weight), out, more in zip(read, machine.run(classes), back, strict=True):
-        if c == INSULT or c == THREAT:
-            found["".join(b if a == " " else a for a, b in zip(out.ljust(3), more.ljust(3), strict=True))] += weight
+        if c[0] in (INSULT, HARM):
+            found[pattern("".join(b if a == " " else a for a, b in zip(out.ljust(4), more.ljust(4), strict=True)))] += weight
     return found
 
 
@@ -147,12 +218,14 @@ def forms(text: str) -> list[str]:
     return list({w + "$" for w in words} | {w[:n] for w in words for n in STEM if n <= len(w)})
 
 
-def learn_lexicon(rows: DataFrame, sizes: tuple[int, int], least: int = 3, share: float = 0.01, purity: float = 0.9, limit: int = 4000) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, sizes: tuple[int, int], least: int = 3, share: float = 0.01, purity: float = 0.9) -> dict[str, float]:
     """The fewest forms and stems, hardly seen but in toxic documents, that explain these; with weights.
 
     Candidates are counted over the distinct texts of the sample, so that copies of one text count
     once. Then a greedy cover: the candidate that most of the toxic texts not yet explained hold is
-    taken, as long as it explains enough of them; what the fixed lexicon matches is explained.
+    taken, as long as it explains enough of them; what the fixed lexicon matches is explained. All that
+    are frequent and pure enough are candidates: as the sample is bounded and each must occur in
+    ``share`` of its toxic texts, so is their number.
     """
     toxic, clean = sizes
     texts = rows.select("label", "text").distinct()
@@ -161,7 +234,7 @@ def learn_lexicon(rows: DataFrame, sizes: tuple[int, int], least: int = 3, share
     rate = (F.col("bad") / max(1, toxic)) / (F.col("bad") / max(1, toxic) + (F.col("good") + 0.25) / max(1, clean))
     enough = max(least, math.ceil(share * toxic))
     few = counts.where(F.col("bad") >= enough).withColumn("rate", rate).where(F.col("rate") >= purity)
-    top = {r["form"]: (r["bad"], r["good"], r["rate"]) for r in few.orderBy(F.col("bad").desc(), F.length("form"), "form").limit(limit).collect()}
+    top = {r["form"]: (r["bad"], r["good"], r["rate"]) for r in few.orderBy(F.col("bad").desc(), F.length("form"), "form").collect()}
     names = sorted(top)
     index = {f: i for i, f in enumerate(names)}
 
@@ -196,8 +269,21 @@ def fit_weights(x: np.ndarray, y: np.ndarray, weights: np.ndarray, pull: float =
         if np.abs(step).max() < 1e-8:
             break
     w[: len(MARKS)] = np.maximum(w[: len(MARKS)], 0)  # a match never speaks for a clean text
-    w[: len(MARKS)][~x.any(0)] += max(0.0, BIAS - w[-1])  # marks not seen keep their prior score, not only their weight
-    return w[:-1], float(w[-1])
+    strong = np.array([PRIOR[m] > -BIAS for m in MARKS])
+    w[: len(MARKS)][strong & ~x.any(0)] += max(0.0, BIAS - w[-1])  # strong patterns not seen keep their prior score, not only their weight
+    return ordered(w[:-1]), float(w[-1])
+
+
+def ordered(weights: np.ndarray) -> np.ndarray:
+    """The weights with a fuller pattern above a barer one, and below it when negated or reported."""
+    w = dict(zip(MARKS, weights.tolist(), strict=True))
+    for kind in "it":
+        for bare, full in ((" ", "a"), ("a", "c")):
+            w[kind + full + " "] = max(w[kind + full + " "], w[kind + bare + " "] + STEP)
+        for form, what in product(" ac", "nr"):
+            w[kind + form + what] = min(w[kind + form + what], max(0.0, w[kind + form + " "] - SCOPE_COST))
+    w["t  "] = w["t n"] = w["t r"] = 0.0
+    return np.array([w[m] for m in MARKS])
 
 
 def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (5, 0), each: int = 5000):
@@ -223,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (5, 0), each
 def with_score(docs: DataFrame, model, text: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
     """``docs`` with the toxicity of each whole text; null and empty texts match nothing.
 
-    The lexicon that goes to the workers holds at most ``limit`` (4000) learned forms.
+    The lexicon that goes to the workers holds at most one learned form for each toxic text of the sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -72,30 +72,46 @@ def test_long_words_count_whole(monkeypatch):
     assert q.bag("")[0].size == q.bag(" \n")[0].size == 0
 
 
-def test_grammar_marks_scope_and_aim():
-    machine, lexicon = tox.grammar(), tox.Lexicon({})
-    found = lambda t: dict(tox.marks(t, lexicon, machine))
-    assert found("He is an idiot.") == {"ia ": 1.0}
-    assert found("She is not an idiot.") == {"ian": 1.0}
-    assert found("They said you are scum") == {"iar": 1.0}
-    assert found("It is not so. What trash") == {"i  ": 1.0}
-    assert found("I will hurt you") == {"t  ": 1.0}
+def found(text):
+    return dict(tox.marks(text, tox.Lexicon({}), tox.grammar(), tox.backward()))
+
+
+def test_grammar_matches_clauses():
+    assert found("He is an idiot.") == found("You are such a total moron") == found("you're scum") == {"ic ": 1.0}
+    assert found("you idiot!") == found("idiots like you") == {"ia ": 1.0}
+    assert found("It is not so. What trash") == found("the idiot of the village") == {"i  ": 1.0}
+    assert found("She is not an idiot.") == {"icn": 1.0}
+    assert found("They said you are scum") == found("you are scum, he wrote") == found('"you are scum"') == {"icr": 1.0}
+    assert found("I will kill you") == found("Ich werde dich töten") == found("Je vais te tuer") == found("A ti te voy a matar") == {"tc ": 1.0}
+    assert found("Je te tuerai") == found("kill yourself") == found("I'll hurt them") == found("I’ll hurt them") == {"tc ": 1.0}
+    assert found("I will not kill you") == {"tcn": 1.0}
+    assert found("I will kill you, he said") == found("«I will kill you»") == {"tcr": 1.0}
+    assert found("She beat them at chess") == {"ta ": 1.0}
+    assert found("She beat the eggs. You look") == found("The frost will kill it") == {"t  ": 1.0}
     assert found("") == found("a calm day") == {}
 
 
-def test_threats_are_aimed_from_either_side(spark, tables):
-    machine, behind, lexicon = tox.grammar(), tox.backward(), tox.Lexicon({})
-    found = lambda t: dict(tox.marks(t, lexicon, machine, behind))
-    assert found("I will kill you") == found("Ich werde dich töten") == found("Je vais te tuer") == found("A ti te voy a matar") == {"ta ": 1.0}
-    assert found("I will not kill you") == {"tan": 1.0}
-    assert found("I will kill you, he said") == {"tar": 1.0}
-    assert found("you are scum, he wrote") == {"iar": 1.0}
-    assert found("She beat the eggs. You look") == {"t  ": 1.0}
-    texts = ["I will kill you", "Ich werde dich töten", "Je vais te tuer", "Te voy a matar", "She beat the eggs", "I will not kill you", "I will kill you, he said"]
+def test_clauses_score_above_words(spark, tables):
+    texts = ["I will kill you", "Ich werde dich töten", "Je vais te tuer", "Te voy a matar", "She beat the eggs", "I will not kill you", "I will kill you, he said", "you are an idiot", "you idiot", "an idiot", "you are not an idiot", '"you are an idiot"', "kill", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for labels in (tables[1], tables[1].where("false")):
         model = tox.fit(tables[0], labels)
-        got = tox.with_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
-        assert [r.score >= 0.5 for r in got] == [True] * 4 + [False] * 3
+        got = [r.score for r in tox.with_score(rows, model).orderBy("doc_id").collect()]
+        assert [x >= 0.5 for x in got[:7]] == [True] * 4 + [False] * 3
+        full, address, word, negated, quoted, verb, nothing = got[7:]
+        assert full > address > word > nothing and full > address >= 0.5
+        assert full > negated and full > quoted and abs(verb - nothing) < 1e-12
+    assert word < 0.5 and negated < 0.5 and quoted < 0.5  # by the prior weights
+
+
+def test_weights_keep_their_order():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        w = dict(zip(tox.MARKS, tox.ordered(rng.random(len(tox.MARKS)) * 6), strict=True))
+        for k in "it":
+            assert w[k + "  "] < w[k + "a "] < w[k + "c "]
+            assert all(w[k + f + s] <= w[k + f + " "] and w[k + f + s] >= 0 for f in " ac" for s in "nr")
+        assert w["t  "] == 0
 
 
 def test_keep_good_returns_the_columns(tables):
