@@ -1,12 +1,14 @@
 """A supervised classifier on learned subword vectors.
 
-Every word stands for the hashed vectors of itself, of its character n-grams, and of the bigram that
-it makes with an equal word before it. A document is the mean of all its vectors, a softmax layer
-gives the two class probabilities, and vectors and layer are trained together by stochastic gradient
-descent in numpy on a bounded sample of labelled documents.
+Every word stands for the hashed vectors of itself and of its character n-grams, and every two
+neighbouring words for those of their bigram and of its subwords: the pairs of their first characters,
+of their first two and of their last two. A document is the mean of all its vectors, a softmax
+layer gives the two class probabilities, and vectors and layer are trained together by stochastic
+gradient descent in numpy on a bounded sample of labelled documents.
 
 The layer is linear in the mean, so that for scoring each bucket of the hash needs only one number,
-its vector's product with the difference of the class weights: ``BUCKETS`` floats go to the workers.
+its vector's product with the difference of the class weights: ``BUCKETS + PAIRS`` floats go to the
+workers.
 """
 
 import zlib
@@ -23,18 +25,16 @@ from pyspark.sql import types as T
 from millwright.llm.batches import map_texts
 from millwright.llm.labelled import held_out, sample
 
-BUCKETS = 1 << 18
+#: buckets of words and their character n-grams, and of word bigrams
+BUCKETS, PAIRS = 1 << 18, 1 << 18
 GRAMS = (2, 3)
 MAX_WORDS = 500_000
-AGAIN = "\x00again"
 LONG = 200  # characters; longer words go in pieces and are not remembered
 PIECE = 1 << 16  # n-grams of a long word that are made together
 
 
 def features(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams, word ends marked."""
-    if word == AGAIN:
-        return [zlib.crc32(b"again") % BUCKETS] * 8
     marked = f"<{word}>".encode("utf-8", "surrogatepass")
     out = [zlib.crc32(b"w" + marked)]
     for n in GRAMS:
@@ -67,10 +67,19 @@ def long_features(word: str) -> Iterator[np.ndarray]:
             yield (~made % np.uint32(BUCKETS)).astype(np.int64)
 
 
-def tokens(text: str) -> tuple[list[str], int]:
-    """Words of a whole text, and how many are equal to the word before them."""
-    words = text.split()
-    return words, sum(map(str.__eq__, words, words[1:]))
+PARTS = 4
+
+
+def pair_hashes(word: str) -> tuple[int, ...]:
+    """Of the word itself and of the parts of it that pair with a neighbour's."""
+    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (word, word[:1], word[:2], word[-2:]))
+
+
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the bigrams of neighbouring words, given the rows of the words' ``pair_hashes``."""
+    h = hashes.astype(np.uint64)
+    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.arange(h.shape[1], dtype=np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return BUCKETS + (mixed >> np.uint64(40)).astype(np.int64).ravel() % PAIRS
 
 
 @dataclass
@@ -81,30 +90,33 @@ class Model:
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    words, again = tokens(text)
+    words = text.split()
     seen = Counter(words)
-    if again:
-        seen[AGAIN] = again
     if not seen:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    at = {w: k for k, w in enumerate(seen)}
+    pairs = pair_buckets(np.array([pair_hashes(w) for w in seen], np.int64)[np.fromiter(map(at.__getitem__, words), np.int64, len(words))])
     long = {w: seen.pop(w) for w in [w for w in seen if len(w) > LONG]}
     lists = list(map(features, seen))
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    total = np.bincount(np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), np.repeat(np.fromiter(seen.values(), float, len(seen)), sizes), BUCKETS)
+    parts = [np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), pairs]
+    times = [np.repeat(np.fromiter(seen.values(), float, len(seen)), sizes), np.ones(len(pairs))]
     for word, n in long.items():
         for part in long_features(word):
-            np.add.at(total, part, float(n))
-    ids = np.flatnonzero(total)
-    return ids.astype(np.int32), (total[ids] / total.sum()).astype(np.float32)
+            parts.append(part)
+            times.append(np.full(len(part), float(n)))
+    ids, place = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(place, np.concatenate(times))
+    return ids.astype(np.int32), (total / total.sum()).astype(np.float32)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, size: int = 8, epochs: int = 5, rate: float = 6.0, batch: int = 32, seed: int = 1) -> Model:
     """Vectors and softmax layer by SGD; with fewer than two classes the prior alone."""
     if len(set(labels.tolist())) < 2:
         share = (float(labels.sum()) + 1) / (len(labels) + 2)
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+        return Model(np.zeros(BUCKETS + PAIRS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    vectors = (rng.random((BUCKETS, size), np.float32) - 0.5) / size
+    vectors = (rng.random((BUCKETS + PAIRS, size), np.float32) - 0.5) / size
     layer = (rng.random((2, size), np.float32) - 0.5) / size
     bias = np.zeros(2, np.float32)
     goal = np.eye(2, dtype=np.float32)[labels]
@@ -128,32 +140,56 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
             back = off @ layer
             layer -= step / len(rows) * off.T @ mean
             bias -= step / len(rows) * off.sum(0)
-            np.subtract.at(vectors, ids, step * back[place] * share[:, None])
+            own, at = np.unique(ids, return_inverse=True)
+            for k in range(size):
+                vectors[own, k] -= step * np.bincount(at, back[place, k] * share, len(own))
     return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 class _Words(dict):
-    """word -> sum of its buckets' scores + i * number of them."""
+    """word -> its row in three growing lists: sum of its buckets' scores, number of them, pair hashes."""
 
     def __init__(self, scores: np.ndarray):
         super().__init__()
         self.array = scores
         self.scores = scores.tolist()
+        self.fresh()
 
-    def __missing__(self, word: str) -> complex:
-        if len(word) > LONG:
-            return sum((complex(self.array[ids].sum(dtype=float), len(ids)) for ids in long_features(word)), 0j)
-        ids = features(word)
-        if len(self) > MAX_WORDS:
-            self.clear()
-        made = self[word] = complex(sum(map(self.scores.__getitem__, ids)), len(ids))
-        return made
+    def fresh(self) -> None:
+        self.clear()
+        self.sums, self.sizes, self.hashes = [], [], []
 
-
-def score(model: Model, known: _Words, text: str) -> float:
-    words, again = tokens(text)
-    z = sum(map(known.__getitem__, words), 0j) + again * known[AGAIN]
-    return float(1 / (1 + np.exp(-np.clip(z.real / max(1.0, z.imag) + model.bias, -60, 60))))
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONG:
+            total, n = 0.0, 0
+            for ids in long_features(word):
+                total += float(self.array[ids].sum(dtype=float))
+                n += len(ids)
+        else:
+            ids = features(word)
+            total, n = sum(map(self.scores.__getitem__, ids)), len(ids)
+        at = len(self.sums)
+        self.sums.append(total)
+        self.sizes.append(n)
+        self.hashes.append(pair_hashes(word))
+        if len(word) <= LONG:
+            self[word] = at
+        return at
+
+
+def scores(model: Model, known: _Words, texts: list[str]) -> np.ndarray:
+    """Probabilities of label 1 of whole texts; 0.5 moved by the bias alone where there is no word."""
+    if len(known.sums) > MAX_WORDS:
+        known.fresh()
+    split = [t.split() for t in texts]
+    rows = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in split]
+    sums, sizes, hashes = np.array(known.sums, float), np.array(known.sizes, np.int64), np.array(known.hashes, np.int64).reshape(-1, PARTS)
+    z = np.zeros(len(texts))
+    for i, row in enumerate(rows):
+        if len(row):
+            pairs = model.scores[pair_buckets(hashes[row])]
+            z[i] = (sums[row].sum() + pairs.sum(dtype=float)) / (sizes[row].sum() + len(pairs))
+    return 1 / (1 + np.exp(-np.clip(z + model.bias, -60, 60)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held: tuple[int, int] = (4, 2), each: int = 2000) -> Model:
@@ -185,7 +221,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
     def make():
         m = shared.value
         known = _Words(m.scores)
-        return lambda texts: {name: [score(m, known, t) for t in texts]}
+        return lambda texts: {name: scores(m, known, texts)}
 
     return map_texts(docs, text, make, [T.StructField(name, T.DoubleType())], keep_text)
 

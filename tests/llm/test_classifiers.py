@@ -54,22 +54,39 @@ def test_empty_tables(tables, run):
     assert run(docs.limit(5), labels.where("false")).count() == 5
 
 
+def score(model, text):
+    return float(q.scores(model, q._Words(model.scores), [text])[0])
+
+
 def test_long_words_count_whole(monkeypatch):
     words = ["x" * 200, "ab" * 150, "日本語テキスト" * 60, "z" * 201 + "\ud800"]
-    model = q.Model(np.random.default_rng(1).normal(size=q.BUCKETS).astype(np.float32), 0.1)
+    buckets = q.BUCKETS + q.PAIRS
+    model = q.Model(np.random.default_rng(1).normal(size=buckets).astype(np.float32), 0.1)
     for size in (q.PIECE, 50):
         monkeypatch.setattr(q, "PIECE", size)
         for w in words:
             want = q.features(w)
             assert sorted(want) == sorted(np.concatenate(list(q.long_features(w))).tolist())
             ids, shares = q.bag(f"{w} b {w}")
-            every = np.bincount(2 * want + q.features("b"), minlength=q.BUCKETS)
+            pairs = q.pair_buckets(np.array([q.pair_hashes(x) for x in (w, "b", w)])).tolist()
+            assert len(pairs) == 8 and all(q.BUCKETS <= p < buckets for p in pairs)
+            whole = 2 * want + q.features("b") + pairs
+            every = np.bincount(whole, minlength=buckets)
             assert ids.tolist() == np.flatnonzero(every).tolist() and np.allclose(shares, every[ids] / every.sum(), rtol=1e-5)
-            known = q._Words(model.scores)
-            z = model.scores[2 * want + q.features("b")].mean(dtype=float) + 0.1
-            assert abs(q.score(model, known, f"{w} b {w}") - 1 / (1 + np.exp(-z))) < 1e-6
-    assert q.score(model, known, "x" * 300 + "abc") != q.score(model, known, "x" * 300 + "xyz")
+            z = model.scores[whole].mean(dtype=float) + 0.1
+            assert abs(score(model, f"{w} b {w}") - 1 / (1 + np.exp(-z))) < 1e-6
+    assert score(model, "x" * 300 + "abc") != score(model, "x" * 300 + "xyz")
+    assert score(model, "a b") != score(model, "b a")
     assert q.bag("")[0].size == q.bag(" \n")[0].size == 0
+    assert abs(score(model, " \n") - 1 / (1 + np.exp(-0.1))) < 1e-9
+
+
+def test_words_forgotten_give_the_same(monkeypatch):
+    model = q.Model(np.random.default_rng(1).normal(size=q.BUCKETS + q.PAIRS).astype(np.float32), 0.0)
+    texts = [" ".join(random.Random(i).choices(CLEAN, k=30)) for i in range(20)]
+    want, known = [score(model, t) for t in texts], q._Words(model.scores)
+    monkeypatch.setattr(q, "MAX_WORDS", 5)
+    assert np.allclose([q.scores(model, known, [t])[0] for t in texts], want)
 
 
 def found(text):
