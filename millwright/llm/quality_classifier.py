@@ -203,11 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held: tuple[
 
         return work
 
-    got = map_texts(rows.df, "text", make, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))]).toPandas()
+    got = map_texts(rows.df, "text", make, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))]).select("order", "label", "ids", "shares").toArrow()
     rows.drop()
-    got = got.sort_values(["order", "label"], kind="stable")
-    y = got["label"].to_numpy(np.int64)
-    bags = [(np.asarray(a, np.int32), np.asarray(b, np.float32)) for a, b in zip(got["ids"], got["shares"], strict=True)]
+    columns = [got.column(k).combine_chunks() for k in got.column_names]
+    order, y = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[:2])
+    ids, shares, at = columns[2].flatten().to_numpy(), columns[3].flatten().to_numpy(), np.r_[0, np.cumsum(columns[2].value_lengths().to_numpy())].astype(np.int64)
+    sort = np.lexsort((y, order))
+    bags, y = [(ids[at[i] : at[i + 1]], shares[at[i] : at[i + 1]]) for i in sort], y[sort]
     each_class = np.bincount(y, minlength=2)
     factor = np.array([sizes.get(c, 0) / max(1, each_class[c]) for c in (0, 1)])
     weights = factor[y] / max(1e-9, float(factor[y].mean())) if len(y) else np.zeros(0)
