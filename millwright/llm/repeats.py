@@ -35,6 +35,8 @@ WIDTH = SPAN - GRAM + 1  # q-grams of a window
 MAX_SEEN = 500_000  # settled contexts that a task remembers; beyond, they are made again
 CHUNK = 4 << 20  # bytes of a text that are worked on together
 
+_PLACES = np.arange(1 << 17, dtype=np.uint64)
+
 
 class Open:
     """What the rounds so far left open, as bitmaps; None: nothing is known yet."""
@@ -69,10 +71,10 @@ def scan(data: np.ndarray, level: str, known: Open, seen: set | None = None) ->
 
 def _scan(b, first, windows, low, n, owned, level, known, seen):
     hashes = Hashes(b)
-    grams = hashes.of(np.arange(first, first + windows + WIDTH - 1), GRAM)
-    place = np.arange(len(grams), dtype=np.uint64)
-    least = sliding_min((grams & ~np.uint64(0xFFFFFFFF)) | place, WIDTH) & np.uint64(0xFFFFFFFF)
-    least = least.astype(np.int64)
+    grams = hashes.run(first, windows + WIDTH - 1, GRAM)
+    placed = grams & ~np.uint64(0xFFFFFFFF)
+    placed |= _PLACES[: len(grams)] if len(grams) <= len(_PLACES) else np.arange(len(grams), dtype=np.uint64)
+    least = (sliding_min(placed, WIDTH) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     count = np.diff(np.concatenate([start, [windows]]))
     mine = (start >= owned[0]) & (start < owned[1])

@@ -33,12 +33,32 @@ class Hashes:
         n = len(data)
         up, self.down = powers(n + 1)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[data] * up[:n], out=self.total[1:])
+        spread = BYTE.take(data)
+        spread *= up[:n]
+        np.cumsum(spread, out=self.total[1:])
 
     def of(self, starts: np.ndarray, length: int) -> np.ndarray:
         return mix((self.total[starts + length] - self.total[starts]) * self.down[starts])
 
 
+    def run(self, first: int, n: int, length: int) -> np.ndarray:
+        """``of`` the ``n`` neighbouring starts from ``first`` on, without gathering."""
+        h = self.total[first + length : first + n + length] - self.total[first : first + n]
+        h *= self.down[first : first + n]
+        return mix_in_place(h)
+
+
+def mix_in_place(h: np.ndarray) -> np.ndarray:
+    """``mix``, in the array itself."""
+    t = h >> np.uint64(29)
+    for factor, shift in ((0xBF58476D1CE4E5B9, 32), (0x94D049BB133111EB, 29)):
+        h ^= t
+        h *= np.uint64(factor)
+        np.right_shift(h, np.uint64(shift), out=t)
+    h ^= t
+    return h
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours."""
     n = len(values)
