@@ -22,6 +22,7 @@ def resident(key, make: Callable):
     """
     if key not in _resident:
         _resident.clear()
+        pa.default_memory_pool().release_unused()
         _resident[key] = make()
     return _resident[key]
 

@@ -23,8 +23,8 @@ from millwright.llm.store import cut
 
 CAPACITY = 2048
 END_ID = 0
-MAX_WORDS = 1_500_000  # words and pre-tokens that a worker keeps; a matter of memory, not of results
-BATCH_BYTES = 16 << 20
+MAX_WORDS = 600_000  # words and pre-tokens that a worker keeps; a matter of memory, not of results
+BATCH_BYTES = 8 << 20
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -198,6 +198,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int, row: str | None = N
                 carried = [batch.column(batch.schema.get_field_index(n)).take(at) for n in ([row] if row else []) + ["doc_id"]]
                 made = [pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "crc")), pa.array([part] * len(at), pa.int32()), pa.array(out["rank"], pa.int64())]
                 yield pa.RecordBatch.from_arrays(carried + made, names=schema.names)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

@@ -12,6 +12,7 @@ workers.
 """
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from millwright.llm.labelled import held_out, sample
 #: buckets of words and their character n-grams, and of word bigrams
 BUCKETS, PAIRS = 1 << 18, 1 << 18
 GRAMS = (2, 3)
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000  # that a worker remembers; a matter of memory, not of results
 LONG = 200  # characters; longer words go in pieces and are not remembered
 PIECE = 1 << 16  # n-grams of a long word that are made together
 
@@ -147,7 +148,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
 
 
 class _Words(dict):
-    """word -> its row in three growing lists: sum of its buckets' scores, number of them, pair hashes."""
+    """word -> its row in three growing arrays: sum of its buckets' scores, number of them, pair hashes."""
 
     def __init__(self, scores: np.ndarray):
         super().__init__()
@@ -157,7 +158,7 @@ class _Words(dict):
 
     def fresh(self) -> None:
         self.clear()
-        self.sums, self.sizes, self.hashes = [], [], []
+        self.sums, self.sizes, self.hashes = array("d"), array("q"), array("q")
 
     def __missing__(self, word: str) -> int:
         if len(word) > LONG:
@@ -171,7 +172,7 @@ class _Words(dict):
         at = len(self.sums)
         self.sums.append(total)
         self.sizes.append(n)
-        self.hashes.append(pair_hashes(word))
+        self.hashes.extend(pair_hashes(word))
         if len(word) <= LONG:
             self[word] = at
         return at
@@ -181,9 +182,8 @@ def scores(model: Model, known: _Words, texts: list[str]) -> np.ndarray:
     """Probabilities of label 1 of whole texts; 0.5 moved by the bias alone where there is no word."""
     if len(known.sums) > MAX_WORDS:
         known.fresh()
-    split = [t.split() for t in texts]
-    rows = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in split]
-    sums, sizes, hashes = np.array(known.sums, float), np.array(known.sizes, np.int64), np.array(known.hashes, np.int64).reshape(-1, PARTS)
+    rows = [np.array(list(map(known.__getitem__, t.split())), np.int64) for t in texts]
+    sums, sizes, hashes = np.array(known.sums), np.array(known.sizes), np.array(known.hashes).reshape(-1, PARTS)
     z = np.zeros(len(texts))
     for i, row in enumerate(rows):
         if len(row):
