@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millwright.store import cut
+
 MAD_SIGMA = 1.4826
 
 
@@ -37,15 +39,47 @@ def deltas(df: DataFrame, partition: list[str], order: list[str], values: list[s
     return df.select(*df.columns, *[(F.lead(v).over(w) - F.col(v)).alias(f"delta_{v}") for v in values])
 
 
+def quantiles(df: DataFrame, group: list[str], value, fractions: dict[str, float], also: Column | None = None) -> DataFrame:
+    """Exact quantiles per group, interpolated linearly; columns named by ``fractions``, and ``n``.
+
+    Equal values are counted before any shuffle, and ranks come from sums over the sorted counts, which
+    spill: no group's values are held in one buffer. Null and NaN values don't count; ``also`` limits the
+    rows. Groups without values have no row.
+    """
+    v = value if isinstance(value, Column) else F.col(value)
+    rows = df.select(*group, v.cast("double").alias("_v"), (F.lit(True) if also is None else also).alias("_use")).where("_use and _v is not null and not isnan(_v)")
+    counts = rows.groupBy(*group, "_v").agg(F.count("*").alias("_k"))
+    keys = group or [F.lit(0)]
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_cum", F.sum("_k").over(upto)).withColumn("_n", F.sum("_k").over(Window.partitionBy(*keys)))
+    made = []
+    for name, f in fractions.items():
+        place = (F.col("_n") - 1) * F.lit(float(f))
+        at = lambda k: F.max(F.when((F.col("_cum") > k) & (F.col("_cum") - F.col("_k") <= k), F.col("_v")))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        made.append((low + part * (high - low)).alias(name))
+    return ranked.groupBy(*group).agg(*made, F.max("_n").alias("n"))
+
+
+def join_groups(df: DataFrame, few: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
+    """One row a group joined to its rows; a null key is a group too. Without keys the one row is attached."""
+    if not group:
+        return df.crossJoin(F.broadcast(few))  # one row
+    named = few.select(*[F.col(g).alias(f"_g_{g}") for g in group], *[c for c in few.columns if c not in group])
+    on = F.lit(True)
+    for g in group:
+        on = on & df[g].eqNullSafe(named[f"_g_{g}"])
+    return df.join(named, on, how).drop(*[f"_g_{g}" for g in group])
+
+
 def outliers(df: DataFrame, group: list[str], value: str, least: float, sigmas: float = 6.0, log: bool = False, upper_only: bool = False) -> DataFrame:
     """Adds median, radius and ``outlier``: farther from the median than max(least, sigmas * 1.4826 * MAD)."""
     x = F.log(F.col(value)) if log else F.col(value).cast("double")
     data = df.withColumn("_x", x)
-    medians = data.groupBy(*group).agg(F.median("_x").alias("median"))
-    off = data.join(medians, group).withColumn("_off", F.abs(F.col("_x") - F.col("median")))
-    spread = off.groupBy(*group).agg(F.greatest(F.lit(float(least)), sigmas * MAD_SIGMA * F.median("_off")).alias("radius"))
+    off = join_groups(data, quantiles(data, group, "_x", {"median": 0.5}).drop("n"), group).withColumn("_off", F.abs(F.col("_x") - F.col("median")))
+    spread = quantiles(off, group, "_off", {"_mad": 0.5}).select(*group, F.greatest(F.lit(float(least)), sigmas * MAD_SIGMA * F.col("_mad")).alias("radius"))
     side = (F.col("_x") - F.col("median")) if upper_only else F.col("_off")
-    return off.join(spread, group).withColumn("outlier", side > F.col("radius")).drop("_x", "_off")
+    return join_groups(off, spread, group).withColumn("outlier", side > F.col("radius")).drop("_x", "_off")
 
 
 def circular(phase) -> tuple[Column, Column]:
@@ -55,20 +89,27 @@ def circular(phase) -> tuple[Column, Column]:
     return F.pmod(F.atan2(s, c) / (2 * math.pi), F.lit(1.0)), F.sqrt(s * s + c * c) / n
 
 
-def robust_line(df: DataFrame, group: list[str], x: str, y: str, tolerance: float, rounds: int = 3) -> DataFrame:
-    """slope, intercept, kept: least squares, again without what is farther from the residuals' median
-    than max(tolerance, 3 * 1.4826 * MAD)."""
-    data = df.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(True).alias("_in"))
+def robust_line(df: DataFrame, group: list[str], x: str, y: str, tolerance: float, rounds: int = 6) -> DataFrame:
+    """slope, intercept, kept: least squares over the points kept, until what is kept is stable.
+
+    A point is kept if its residual is at most max(tolerance, 3 * 1.4826 * MAD) from the residuals'
+    median; median and MAD are those of the points kept so far. Points that left may come back. After
+    ``rounds`` rounds the last points kept hold. Groups with fewer than 3 points kept have no line.
+    """
+    data = df.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(True).alias("_in")).where("_x is not null and _y is not null")
+    fit = [F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.count("*").alias("kept")]
     for k in range(rounds):
-        line = data.where("_in").groupBy(*group).agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.count("*").alias("kept"))
-        if k == rounds - 1:
-            return line
-        rest = data.join(line, group).withColumn("_r", F.col("_y") - F.col("slope") * F.col("_x") - F.col("intercept"))
-        mid = rest.groupBy(*group).agg(F.median("_r").alias("_m"))
-        off = rest.join(mid, group).withColumn("_o", F.abs(F.col("_r") - F.col("_m")))
-        mad = off.groupBy(*group).agg(F.greatest(F.lit(float(tolerance)), 3 * MAD_SIGMA * F.median("_o")).alias("_t"))
-        data = off.join(mad, group).select(*group, "_x", "_y", (F.col("_o") <= F.col("_t")).alias("_in"))
-    return line
+        line = data.where("_in").groupBy(*group).agg(*fit)
+        rest = join_groups(data, line.where("kept >= 3"), group, "left").withColumn("_r", F.col("_y") - F.col("slope") * F.col("_x") - F.col("intercept"))
+        off = join_groups(rest, quantiles(rest, group, "_r", {"_m": 0.5}, F.col("_in")).drop("n"), group, "left").withColumn("_o", F.abs(F.col("_r") - F.col("_m")))
+        mad = quantiles(off, group, "_o", {"_s": 0.5}, F.col("_in")).select(*group, F.greatest(F.lit(float(tolerance)), 3 * MAD_SIGMA * F.col("_s")).alias("_t"))
+        after = join_groups(off, mad, group, "left").select(*group, "_x", "_y", "_in", F.coalesce(F.col("_o") <= F.col("_t"), F.col("_in")).alias("_next"))
+        after = cut(after, f"line-{k}")
+        stable = not after.where("_in <> _next").limit(1).count()
+        data = after.select(*group, "_x", "_y", F.col("_next").alias("_in"))
+        if stable:
+            break
+    return data.where("_in").groupBy(*group).agg(*fit).where("kept >= 3")
 
 
 def weighted_merge(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -78,7 +119,9 @@ def weighted_merge(df: DataFrame, keys: list[str], value: str, weight: str) -> D
 def median_merge(df: DataFrame, keys: list[str], value: str, seen: Column, least) -> DataFrame:
     """Median of what was seen, null below the quorum."""
     v = F.when(seen, F.col(value).cast("double"))
-    return df.groupBy(*keys).agg(F.median(v).alias("_m"), F.count(v).alias("seen")).select(*keys, "seen", F.when(F.col("seen") >= least, F.col("_m")).alias("merged"))
+    all_ = df.select(*keys).distinct()
+    found = join_groups(all_, quantiles(df, keys, v, {"_m": 0.5}).withColumnRenamed("n", "seen"), keys, "left")
+    return found.select(*keys, F.coalesce("seen", F.lit(0)).alias("seen"), F.when(F.col("seen") >= least, F.col("_m")).alias("merged"))
 
 
 def otsu(df: DataFrame, value: str, bins: int = 256) -> DataFrame:
@@ -93,8 +136,11 @@ def otsu(df: DataFrame, value: str, bins: int = 256) -> DataFrame:
     return h.where("w < tw").select("bin", (F.col("w") * 1.0 * (F.col("tw") - F.col("w")) * (a - c) * (a - c)).alias("between")).orderBy(F.desc("between"), "bin").limit(1)
 
 
-def discrete_quantiles(value, fraction: float) -> tuple[Column, Column, Column]:
-    """(item n*f cut off, item (n-1)*f rounded, linear) of a group's sorted values."""
-    items = F.array_sort(F.collect_list(value))
-    n = F.size(items)
-    return F.get(items, F.least(n - 1, F.floor(n * fraction).cast("int"))), F.get(items, F.rint((n - 1) * fraction).cast("int")), F.percentile(value, fraction)
+def discrete_quantiles(df: DataFrame, group: list[str], value: str, fraction: float) -> DataFrame:
+    """Per group: cut_off (the item n*f, cut off), rounded (the item (n-1)*f, rounded half to even), linear."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    by = Window.partitionBy(*group)
+    ranked = counts.withColumn("_cum", F.sum("_k").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_k").over(by))
+    at = lambda k: F.max(F.when((F.col("_cum") > k) & (F.col("_cum") - F.col("_k") <= k), F.col("_v")))
+    items = ranked.groupBy(*group).agg(at(F.least(F.col("_n") - 1, F.floor(F.col("_n") * fraction))).alias("cut_off"), at(F.rint((F.col("_n") - 1) * fraction)).alias("rounded"))
+    return join_groups(items, quantiles(df, group, value, {"linear": fraction}).drop("n"), group)

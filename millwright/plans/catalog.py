@@ -88,10 +88,10 @@ o AS (SELECT a.*, m.med, abs(x - med) AS off FROM a JOIN m USING (g)), s AS (SEL
 SELECT k, g, round(med, 6) AS median, round(radius, 6) AS radius FROM o JOIN s USING (g) WHERE {side} > radius"""
 
 
-@query(_outlier_sql("orders", "o_orderpriority", "o_totalprice", "o_orderkey", 1.0, 1.5, "CAST(o_totalprice AS DOUBLE)", "off"))
+@query(_outlier_sql("documents", "lang", "n_chars", "doc_id", 1.0, 6.0, "CAST(n_chars AS DOUBLE)", "off"))
 def robust_outliers(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("g"), "o_totalprice")
-    return robust.outliers(o, ["g"], "o_totalprice", 1.0, 1.5).where("outlier").select("k", "g", r("median").alias("median"), r("radius").alias("radius"))
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), "n_chars")
+    return robust.outliers(d, ["g"], "n_chars", 1.0, 6.0).where("outlier").select("k", "g", r("median").alias("median"), r("radius").alias("radius"))
 
 
 @query(_outlier_sql("part", "p_brand", "p_retailprice", "p_partkey", round(math.log(1.04), 12), 1.2, "ln(CAST(p_retailprice AS DOUBLE))", "x - med"))
@@ -100,17 +100,16 @@ def robust_outliers_log_upper(spark, sf_dir):
     return robust.outliers(p, ["g"], "p_retailprice", round(math.log(1.04), 12), 1.2, log=True, upper_only=True).where("outlier").select("k", "g", r("median").alias("median"), r("radius").alias("radius"))
 
 
-def _line_sql():
-    out = ["d0 AS (SELECT l_returnflag AS g, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, true AS ok FROM lineitem)"]
-    for k in range(3):
-        out.append(f"f{k} AS (SELECT g, regr_slope(y, x) AS sl, regr_intercept(y, x) AS ic, count(*) AS kept FROM d{k} WHERE ok GROUP BY g)")
-        if k < 2:
-            out.append(f"r{k} AS (SELECT d.g, d.x, d.y, y - sl * x - ic AS res FROM d{k} d JOIN f{k} f ON d.g = f.g)")
-            out.append(f"m{k} AS (SELECT g, median(res) AS med FROM r{k} GROUP BY g)")
-            out.append(f"o{k} AS (SELECT r.*, abs(res - med) AS off FROM r{k} r JOIN m{k} m ON r.g = m.g)")
-            out.append(f"s{k} AS (SELECT g, greatest(1.0, 3 * 1.4826 * median(off)) AS tol FROM o{k} GROUP BY g)")
-            out.append(f"d{k + 1} AS (SELECT o.g, o.x, o.y, off <= tol AS ok FROM o{k} o JOIN s{k} s ON o.g = s.g)")
-    return "WITH " + ",\n".join(out) + " SELECT g, round(sl, 4) AS slope, round(ic, 3) AS intercept, kept FROM f2"
+def _line_sql(rounds=6, tolerance=1.0):
+    out = ["d0 AS MATERIALIZED (SELECT l_returnflag AS g, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, true AS ok FROM lineitem)"]
+    fit = "SELECT g, regr_slope(y, x) AS sl, regr_intercept(y, x) AS ic, count(*) AS kept"
+    for k in range(rounds):
+        out.append(f"f{k} AS ({fit} FROM d{k} WHERE ok GROUP BY g HAVING count(*) >= 3)")
+        out.append(f"r{k} AS MATERIALIZED (SELECT d.*, y - (sl * x + ic) AS res FROM d{k} d LEFT JOIN f{k} USING (g))")
+        out.append(f"m{k} AS (SELECT g, median(res) AS med FROM r{k} WHERE ok GROUP BY g)")
+        out.append(f"s{k} AS (SELECT g, median(abs(res - med)) AS mad FROM r{k} JOIN m{k} USING (g) WHERE ok GROUP BY g)")
+        out.append(f"d{k + 1} AS MATERIALIZED (SELECT g, x, y, coalesce(abs(res - med) <= greatest({tolerance}, 3 * 1.4826 * mad), ok) AS ok FROM r{k} LEFT JOIN m{k} USING (g) LEFT JOIN s{k} USING (g))")
+    return f"WITH {', '.join(out)} SELECT g, round(sl, 4) AS slope, round(ic, 3) AS intercept, kept FROM ({fit} FROM d{rounds} WHERE ok GROUP BY g HAVING count(*) >= 3)"
 
 
 @query(_line_sql())
@@ -349,13 +348,6 @@ def farthest_from_centroid(spark, sf_dir):
     return cluster.farthest(cluster.assign(p, seeds(p), ["x", "y"]), "vec_id").select("vec_id", "c", r("d2").alias("d2"))
 
 
-@query(f"""WITH p AS ({POINTS} WHERE vec_id < 200), d AS (SELECT a.vec_id, a.label, b.label AS g, avg(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS m FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY ALL),
-s AS (SELECT vec_id, max(m) FILTER (WHERE label = g) AS a, min(m) FILTER (WHERE label <> g) AS b FROM d GROUP BY 1)
-SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM s""")
-def silhouette_small(spark, sf_dir):
-    return cluster.silhouette(points(spark, sf_dir).where("vec_id < 200"), "label", "vec_id", ["x", "y"]).withColumn("silhouette", r("silhouette"))
-
-
 @query()
 def silhouette(spark, sf_dir):
     return cluster.silhouette(points(spark, sf_dir).repartition(24, "vec_id"), "label", "vec_id", ["x", "y"]).withColumn("silhouette", r("silhouette"))
@@ -371,8 +363,8 @@ def otsu_split(spark, sf_dir):
 @query("""SELECT o_orderpriority AS g, list_sort(list(o_totalprice))[least(count(*), CAST(floor(count(*) * 0.9) AS BIGINT) + 1)] AS cut_off,
 list_sort(list(o_totalprice))[CAST(round_even((count(*) - 1) * 0.9, 0) AS BIGINT) + 1] AS rounded, round(quantile_cont(CAST(o_totalprice AS DOUBLE), 0.9), 4) AS linear FROM orders GROUP BY 1""")
 def discrete_quantiles(spark, sf_dir):
-    a, b, c = robust.discrete_quantiles("o_totalprice", 0.9)
-    return t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("g")).agg(a.alias("cut_off"), b.alias("rounded"), r(c, 4).alias("linear"))
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), "o_totalprice")
+    return robust.discrete_quantiles(o, ["g"], "o_totalprice", 0.9).withColumn("linear", r("linear", 4))
 
 
 @query("""WITH s AS (SELECT l_suppkey, l_returnflag, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY l_suppkey) AS share FROM lineitem GROUP BY 1, 2), n AS (SELECT count(DISTINCT l_suppkey) AS k FROM lineitem)
@@ -387,8 +379,10 @@ def majority_presence(spark, sf_dir):
 
 @query("""SELECT o_orderstatus AS g, round(coalesce(CASE WHEN count(*) FILTER (WHERE o_orderpriority = '1-URGENT') >= 50 THEN quantile_cont(CAST(o_totalprice AS DOUBLE), 0.72) FILTER (WHERE o_orderpriority = '1-URGENT') END, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.72)), 4) AS p72 FROM orders GROUP BY 1""")
 def percentile_fallback(spark, sf_dir):
-    few = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice").cast("double"))
-    return t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("g")).agg(r(F.coalesce(F.when(F.count(few) >= 50, F.percentile(few, 0.72)), F.percentile(F.col("o_totalprice").cast("double"), 0.72)), 4).alias("p72"))
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("g"), "o_orderpriority", "o_totalprice")
+    few = robust.quantiles(o, ["g"], "o_totalprice", {"few": 0.72}, F.col("o_orderpriority") == "1-URGENT").where("n >= 50").drop("n")
+    every = robust.quantiles(o, ["g"], "o_totalprice", {"every": 0.72}).drop("n")
+    return robust.join_groups(every, few, ["g"], "left").select("g", r(F.coalesce("few", "every"), 4).alias("p72"))
 
 
 _AFFINE = {"a": "1 + p_size / 100.0", "b": "p_size / 500.0 - 0.05", "c": "p_size / 400.0 - 0.06", "d": "1 - p_size / 200.0"}
@@ -423,12 +417,6 @@ def fourier_coefficient(spark, sf_dir):
     return s.select(r("re", 4).alias("re"), r("im", 4).alias("im"), r(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), 4).alias("amplitude"))
 
 
-@query("SELECT c_custkey, CAST(regexp_extract(c_name, '(\\d+)$', 1) AS BIGINT) AS number FROM customer ORDER BY number LIMIT 50")
-def natural_sort(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").orderBy(scalar.natural_key("c_name")).limit(50)
-    return c.select("c_custkey", F.regexp_extract("c_name", r"(\d+)$", 1).cast("long").alias("number"))
-
-
 @query("""WITH c AS (SELECT c_custkey, lower(regexp_replace(c_name, '\\d+$', '')) AS stem, CAST(regexp_extract(c_name, '(\\d+)$', 1) AS BIGINT) AS number FROM customer)
 SELECT c_custkey, number, row_number() OVER (ORDER BY stem, number, c_custkey) AS place FROM c""")
 def natural_order(spark, sf_dir):
