@@ -1,46 +1,5 @@
 """Tables in the folder that all machines share, used to cut lineage."""
 
-import gc
-import tempfile
-import uuid
+from millwright.store import Cut, cut, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset (tests), a folder of this machine is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _path(spark: SparkSession, where: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-class Cut:
-    """A written table. ``df`` reads it; ``drop()`` removes it early, else it goes with the session."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.where = f"{shared_dir(self.spark)}/millwright/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.where)
-        fs, path = _path(self.spark, self.where)
-        fs.deleteOnExit(path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.where)
-
-    def drop(self) -> None:
-        fs, path = _path(self.spark, self.where)
-        fs.delete(path, True)
-        # shuffle files go when their last reference is collected
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: later jobs read it and never recompute it."""
-    return Cut(df, name).df
+__all__ = ["Cut", "cut", "shared_dir"]
