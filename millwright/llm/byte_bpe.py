@@ -194,8 +194,8 @@ BLOCKS = T.StructType(
 )
 
 
-def _blocks(docs: DataFrame, shards: int, pattern: str) -> DataFrame:
-    """Rows of both kinds. A word's number in its block follows from (shard, number in the shard)."""
+def _blocks(docs: DataFrame, shards: int, pattern: str, kinds: str = "words documents") -> DataFrame:
+    """Rows of both kinds, or of one. A word's number in its block follows from (shard, number in the shard)."""
     import pyarrow as pa
 
     types = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary())
@@ -205,23 +205,20 @@ def _blocks(docs: DataFrame, shards: int, pattern: str) -> DataFrame:
         often = np.zeros(len(distinct), np.int64)
         for numbers in held:
             often += np.bincount(numbers, minlength=len(distinct))
-        # words by shard, within it sorted: neighbours are alike, which packs well
-        shard = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % shards for w in distinct), np.int64, len(distinct))
-        alphabetic = np.empty(len(distinct), np.int64)
-        alphabetic[sorted(range(len(distinct)), key=distinct.__getitem__)] = np.arange(len(distinct))
-        by_shard = np.lexsort((alphabetic, shard))
         by_count = np.argsort(-often, kind="stable")  # positions use small numbers for frequent words
         new = np.empty(len(distinct), np.int64)
         new[by_count] = np.arange(len(distinct))
         check = zlib.crc32("\0".join(distinct[i] for i in by_count).encode("utf-8", "surrogatepass"))
-        sizes = np.bincount(shard, minlength=shards)
-        at = 0
-        for s in np.flatnonzero(sizes):
-            own = by_shard[at : at + sizes[s]]
-            at += sizes[s]
-            yield block, int(s), [distinct[i] for i in own], None, check, pack_numbers(new[own])
-        for doc_id, numbers in zip(ids, held, strict=True):
-            yield block, None, None, doc_id, check, pack_numbers(new[numbers])
+        if "words" in kinds:
+            shard = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % shards for w in distinct), np.int64, len(distinct))
+            by_shard, sizes, at = np.argsort(shard, kind="stable"), np.bincount(shard, minlength=shards), 0
+            for s in np.flatnonzero(sizes):
+                own = by_shard[at : at + sizes[s]]
+                at += sizes[s]
+                yield block, int(s), [distinct[i] for i in own], None, check, pack_numbers(new[own])
+        if "documents" in kinds:
+            for doc_id, numbers in zip(ids, held, strict=True):
+                yield block, None, None, doc_id, check, pack_numbers(new[numbers])
 
     def run(batches):
         import regex
@@ -271,8 +268,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.Str
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 4 * parts, pattern)
-    blocks = blocks if stable else cut(blocks, "bpe-blocks")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if stable:
+        given, places = _blocks(own, 4 * parts, pattern, "words"), _blocks(own, 4 * parts, pattern, "documents")
+    else:
+        given = places = cut(_blocks(own, 4 * parts, pattern), "bpe-blocks")
     meet = T.StructType([T.StructField("block", T.LongType()), T.StructField("check", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("is_doc", T.BooleanType())])
 
     def once(batches):
@@ -295,8 +295,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish, fields: list[T.Str
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=meet.names)
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
-    encoded = blocks.where("shard is not null").select("block", "check", "shard", "words", "places").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(once, meet)
-    documents = blocks.where("shard is null").select("block", "check", "doc_id", "places", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sizes"), F.lit(True).alias("is_doc"))
+    encoded = given.where("shard is not null").select("block", "check", "shard", "words", "places").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(once, meet)
+    documents = places.where("shard is null").select("block", "check", "doc_id", "places", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sizes"), F.lit(True).alias("is_doc"))
     together = encoded.unionByName(documents).repartition(parts, "block").sortWithinPartitions("block", "is_doc")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *fields])
 
