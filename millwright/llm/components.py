@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from millwright.llm.store import Cut
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, label): for every vertex of ``edges`` (a, b) the smallest vertex of its component.
 
-    Each step replaces the edges by stars around smaller vertices; it takes a few steps, each a
+    Each step replaces the edges by stars around smaller vertices, until none changes; it takes a few steps, each a
     pre-aggregated minimum and a join, and no neighbourhood is ever gathered. Steps are written to the
     shared folder. Null and equal ends are left out.
     """
@@ -19,7 +19,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     if not size:
         return now.df.select(F.col("a").alias("v"), F.col("b").alias("label"))
     digest = None
-    for _ in range(most):
+    while True:
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -34,4 +34,3 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if state == digest and state["n"] == state["v"]:
             return now.df.select(F.col("a").alias("v"), F.col("b").alias("label"))
         digest = state
-    raise RuntimeError("components did not settle")
