@@ -81,9 +81,23 @@ def op10_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op12_fill_in_middle(spark, sf_dir):
+    from millwright.llm.fill_middle import digests, fill_in_middle
+
+    return digests(fill_in_middle(_docs(spark, sf_dir)))
+
+
+def op13_source_divergence(spark, sf_dir):
+    from millwright.llm.divergence import audit
+
+    return audit(_docs(spark, sf_dir, "lang", "source", "text"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op5_minhash_near_dedup, op6_document_fingerprints, op7_byte_bpe, op8_suffix_array_dedup, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op5_minhash_near_dedup, op6_document_fingerprints, op7_byte_bpe, op8_suffix_array_dedup, op9_quality_rules, op10_token_counts, op12_fill_in_middle, op13_source_divergence)}
 
 
 def oracle_sql():
-    return {}
+    from millwright.llm import divergence, fill_middle
+
+    return {"op12_fill_in_middle": fill_middle.SQL, "op13_source_divergence": divergence.SQL}
