@@ -81,6 +81,13 @@ def op10_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op11_pii(spark, sf_dir):
+    from millwright.llm.pii import digests, find, learn
+
+    docs = _docs(spark, sf_dir)
+    return digests(find(docs, learn(docs)))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     from millwright.llm.fill_middle import digests, fill_in_middle
 
@@ -94,7 +101,7 @@ def op13_source_divergence(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op5_minhash_near_dedup, op6_document_fingerprints, op7_byte_bpe, op8_suffix_array_dedup, op9_quality_rules, op10_token_counts, op12_fill_in_middle, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_quality_classifier, op4_toxicity, op5_minhash_near_dedup, op6_document_fingerprints, op7_byte_bpe, op8_suffix_array_dedup, op9_quality_rules, op10_token_counts, op11_pii, op12_fill_in_middle, op13_source_divergence)}
 
 
 def oracle_sql():
