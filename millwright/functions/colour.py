@@ -40,9 +40,13 @@ def dot(values, ray) -> Column:
     return sum((v * F.lit(float(r)) for v, r in zip(values[1:], ray[1:], strict=True)), values[0] * F.lit(float(ray[0])))
 
 
+#: Residuals this near count as equal: directions that fit a pixel alike differ by rounding only.
+TIE = 1e-9
+
+
 def unmix(values: list[Column], rays: list[tuple]) -> list[Column]:
     """Amounts of each ray and of grey: all of a pixel goes to the one direction that leaves the least
-    residual with an amount of at least 0, the first on ties."""
+    residual with an amount of at least 0, the first of those within TIE of it."""
     directions = [*rays, NEUTRAL]
     amounts = [dot(values, ray) for ray in directions]
     rests = [norm([v - a * F.lit(float(r)) for v, r in zip(values, ray, strict=True)]) for a, ray in zip(amounts, directions, strict=True)]
@@ -50,7 +54,7 @@ def unmix(values: list[Column], rays: list[tuple]) -> list[Column]:
     least = F.least(*costs)
     out, free = [], least < F.lit(math.inf)
     for a, cost in zip(amounts, costs, strict=True):
-        mine = free & (cost == least)
+        mine = free & (cost <= least + TIE)
         out.append(F.when(mine, a).otherwise(0.0))
         free = free & ~mine
     return out

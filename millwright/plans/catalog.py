@@ -385,7 +385,7 @@ def percentile_fallback(spark, sf_dir):
     return robust.join_groups(every, few, ["g"], "left").select("g", r(F.coalesce("few", "every"), 4).alias("p72"))
 
 
-_AFFINE = {"a": "1 + p_size / 100.0", "b": "p_size / 500.0 - 0.05", "c": "p_size / 400.0 - 0.06", "d": "1 - p_size / 200.0"}
+_AFFINE = {"a": "1 + p_size / 1e2", "b": "p_size / 5e2 - 5e-2", "c": "p_size / 4e2 - 6e-2", "d": "1 - p_size / 2e2"}
 
 
 @query(f"""WITH m AS (SELECT p_partkey, {", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in _AFFINE.items())} FROM part)

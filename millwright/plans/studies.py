@@ -1,6 +1,6 @@
 """Queries on sides, registrations, pixels and colours, bound to the supplied tables, with SQL for the same rows.
 
-Sides of a piece are the first four lines of an order, pixels the 64 numbers of an embedding as 8 x 8,
+Sides of a piece are the lines of an order, four in turn, pixels the 64 numbers of an embedding as 8 x 8,
 and affine maps and colours are formed from a part's or a supplier's numbers.
 """
 
@@ -30,16 +30,15 @@ def r(x, n=5):
     return F.round(x, n)
 
 
-_SIDES = """sides AS (SELECT l_orderkey AS k, CASE l_linenumber WHEN 1 THEN 'top' WHEN 2 THEN 'bottom' WHEN 3 THEN 'left' ELSE 'right' END AS side,
+_SIDES = """sides AS (SELECT l_orderkey AS k, CASE (l_linenumber - 1) % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'bottom' WHEN 2 THEN 'left' ELSE 'right' END AS side,
 14 + max(l_discount) * 12 AS gauge, CAST(floor(max(l_quantity) / 4) AS BIGINT) AS arcs, bool_or(l_returnflag <> 'N') AS has_line, bool_and(l_linestatus = 'F') AS circles,
-max(l_tax) * 50 AS angle, max(l_discount) * 10 AS coverage, min(l_tax) AS rms FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, l_linenumber),
+max(l_tax) * 50 AS angle, max(l_discount) * 10 AS coverage, min(l_tax) AS rms FROM lineitem GROUP BY 1, 2),
 trusted AS (SELECT *, has_line AND circles AND arcs >= 5 AS reliable FROM sides)"""
 
 
 def sides(spark, sf_dir):
-    names = {1: "top", 2: "bottom", 3: "left", 4: "right"}
-    lines = t(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    made = lines.groupBy(F.col("l_orderkey").alias("k"), study.lookup(names, "l_linenumber").alias("side")).agg(
+    names = {0: "top", 1: "bottom", 2: "left", 3: "right"}
+    made = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), study.lookup(names, (F.col("l_linenumber") - 1) % 4).alias("side")).agg(
         (14 + F.max("l_discount") * 12).alias("gauge"), F.floor(F.max("l_quantity") / 4).alias("arcs"), F.bool_or(F.col("l_returnflag") != "N").alias("has_line"),
         F.when(F.bool_and(F.col("l_linestatus") == "F"), "circle_arcs").otherwise("line").alias("source"), (F.max("l_tax") * 50).alias("angle"), (F.max("l_discount") * 10).alias("coverage"), F.min("l_tax").alias("rms"),
     )
@@ -111,10 +110,10 @@ def method_summary(spark, sf_dir):
     return m.select("side", "published", "safe", "bad", r("most").alias("most"), F.col("fits").cast("long").alias("fits"), *[r(c).alias(c) for c in ("mean_fits", "median", "p90")])
 
 
-@query("SELECT p_partkey, CASE WHEN abs(p_size / 10.0 + 12 - 14.25) < abs(p_size / 10.0 + 12 - 14.5) THEN CASE WHEN abs(p_size / 10.0 + 12 - 13.0) < abs(p_size / 10.0 + 12 - 14.25) THEN 'coarse' ELSE 'middle' END ELSE 'fine' END AS class FROM part WHERE p_size % 5 <> 0")
+@query("""WITH o AS (SELECT p_partkey, abs(p_size / 1e1 + 12 - 13) AS c, abs(p_size / 1e1 + 12 - 14) AS m, abs(p_size / 1e1 + 12 - 14.5) AS f FROM part)
+SELECT p_partkey, CASE WHEN c <= m AND c <= f THEN 'coarse' WHEN m <= f THEN 'middle' ELSE 'fine' END AS class FROM o""")
 def nearest_class(spark, sf_dir):
-    p = t(spark, sf_dir, "part").where("p_size % 5 <> 0")
-    return p.select("p_partkey", study.nearest_class(F.col("p_size").cast("double") / 10 + 12, {"coarse": 13.0, "middle": 14.25, "fine": 14.5}).alias("class"))
+    return t(spark, sf_dir, "part").select("p_partkey", study.nearest_class(F.col("p_size").cast("double") / 10 + 12, {"coarse": 13.0, "middle": 14.0, "fine": 14.5}).alias("class"))
 
 
 @query("""WITH b AS (SELECT o_orderpriority AS g, CAST(o_custkey % 3 AS INTEGER) AS f, CAST((o_custkey + o_orderkey % 2) % 3 AS INTEGER) AS s FROM orders), c AS (SELECT * FROM b WHERE f < 2 AND s < 2),
@@ -206,7 +205,8 @@ def trimmed_shift(spark, sf_dir):
 
 # affine maps -------------------------------------------------------------------------------------
 
-_MAP = {"a": "1 + p_size / 400.0", "b": "p_size / 3000.0 - 0.01", "tx": "p_partkey % 9 - 4.0", "c": "0.01 - p_size / 2500.0", "d": "1 - p_size / 500.0", "ty": "p_partkey % 7 - 3.0"}
+#: Numbers in exponent form are doubles in both dialects; plain decimals would be exact decimals of few digits.
+_MAP = {"a": "1 + p_size / 4e2", "b": "p_size / 3e3 - 1e-2", "tx": "p_partkey % 9 - 4e0", "c": "1e-2 - p_size / 25e2", "d": "1 - p_size / 5e2", "ty": "p_partkey % 7 - 3e0"}
 _MAPS = "maps AS (SELECT p_partkey AS k, p_brand AS g, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _MAP.items()) + " FROM part)"
 _DECOMPOSED = f"""WITH {_MAPS}, parts AS (SELECT *, sqrt(a * a + c * c) AS sx, abs(a * d - b * c) / sqrt(a * a + c * c) AS sy, degrees(atan2(c, a)) AS rot, (a * b + c * d) / (a * a + c * c) AS sh FROM maps)"""
 
@@ -260,14 +260,12 @@ def side_quads(spark, sf_dir):
 b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w DESC, k) AS rk FROM p), o AS (SELECT g, x AS ox, y AS oy, ph AS oph FROM b WHERE rk = 1),
 n AS (SELECT g, w, x - ox AS x, y - oy AS y, (ph - oph + pi()) - 2 * pi() * floor((ph - oph + pi()) / (2 * pi())) - pi() AS p FROM p JOIN o USING (g)),
 s AS (SELECT g, sum(w) AS s1, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * p) AS sp, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy, sum(w * x * p) AS sxp, sum(w * y * p) AS syp FROM n GROUP BY 1),
-c AS (SELECT g, sxx - sx * sx / s1 AS cxx, sxy - sx * sy / s1 AS cxy, syy - sy * sy / s1 AS cyy, sxp - sx * sp / s1 AS cxp, syp - sy * sp / s1 AS cyp FROM s)
-SELECT g, round((cxp * cyy - cyp * cxy) / (cxx * cyy - cxy * cxy) / (2 * pi()), 4) AS fx, round((cyp * cxx - cxp * cxy) / (cxx * cyy - cxy * cxy) / (2 * pi()), 4) AS fy FROM c WHERE abs(cxx * cyy - cxy * cxy) > 1e-6""")
+c AS (SELECT g, s1 * (sxx * syy - sxy * sxy) - sx * (sx * syy - sxy * sy) + sy * (sx * sxy - sxx * sy) <> 0 AS ok, sxx - sx * sx / s1 AS cxx, sxy - sx * sy / s1 AS cxy, syy - sy * sy / s1 AS cyy, sxp - sx * sp / s1 AS cxp, syp - sy * sp / s1 AS cyp FROM s)
+SELECT g, CASE WHEN ok THEN round((cxp * cyy - cyp * cxy) / (cxx * cyy - cxy * cxy) / (2 * pi()), 4) END AS fx, CASE WHEN ok THEN round((cyp * cxx - cxp * cxy) / (cxx * cyy - cxy * cxy) / (2 * pi()), 4) END AS fy FROM c""")
 def phase_plane(spark, sf_dir):
     k = F.col("s_suppkey")
     p = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), k.alias("k"), (k % 13).cast("double").alias("x"), (k % 17).cast("double").alias("y"), (k * 0.37 % 6.0).cast("double").alias("ph"), (1.0 + k % 3).cast("double").alias("w"))
-    flat = registration.spread("x", "y", 3)
-    enough = p.groupBy("g").agg(flat.alias("s")).where("s > 1e-6").select("g")
-    return registration.phase_plane(p.join(enough, "g"), ["g"], "x", "y", "ph", "w", "k").select("g", r("fx", 4).alias("fx"), r("fy", 4).alias("fy"))
+    return registration.phase_plane(p, ["g"], "x", "y", "ph", "w", "k").select("g", r("fx", 4).alias("fx"), r("fy", 4).alias("fy"))
 
 
 @query("""WITH p AS (SELECT p_brand AS g, p_partkey AS k, CAST(p_size AS DOUBLE) AS dx, CAST(p_partkey % 23 AS DOUBLE) AS dy FROM part), q AS (SELECT *, round_even((dx * 0.6 + dy * 0.8) / 4, 0) * 4 AS ac, dy * 0.6 - dx * 0.8 AS al FROM p),
@@ -312,20 +310,16 @@ def optical_density(spark, sf_dir):
 
 @query(f"""{_DENSITY}, a AS (SELECT k, x, y, z, 0.8 * x + 0.6 * y AS a0, 0.6 * y + 0.8 * z AS a1, (x + y + z) / sqrt(3.0) AS a2 FROM d),
 e AS (SELECT *, sqrt(pow(x - 0.8 * a0, 2) + pow(y - 0.6 * a0, 2) + z * z) AS e0, sqrt(x * x + pow(y - 0.6 * a1, 2) + pow(z - 0.8 * a1, 2)) AS e1, sqrt(pow(x - a2 / sqrt(3.0), 2) + pow(y - a2 / sqrt(3.0), 2) + pow(z - a2 / sqrt(3.0), 2)) AS e2 FROM a)
-SELECT k, round(greatest(a0, a1, a2) * 0 + CASE WHEN least(e0, e1, e2) = e2 AND e2 < least(e0, e1) - 1e-9 THEN a2 WHEN e1 < e0 - 1e-9 THEN a1 ELSE a0 END, 4) AS amount FROM e WHERE abs(e0 - e1) > 1e-6 AND abs(e0 - e2) > 1e-6 AND abs(e1 - e2) > 1e-6""")
+SELECT k, round(CASE WHEN e0 <= least(e0, e1, e2) + 1e-9 THEN a0 WHEN e1 <= least(e0, e1, e2) + 1e-9 THEN a1 ELSE a2 END, 4) AS amount FROM e""")
 def unmixed(spark, sf_dir):
     v = [F.col(c) for c in "xyz"]
-    d = densities(spark, sf_dir)
     amounts = colour.unmix(v, RAYS)
-    rests = [colour.norm([x - colour.dot(v, ray) * F.lit(float(q)) for x, q in zip(v, ray, strict=True)]) for ray in [*RAYS, colour.NEUTRAL]]
-    apart = (F.abs(rests[0] - rests[1]) > 1e-6) & (F.abs(rests[0] - rests[2]) > 1e-6) & (F.abs(rests[1] - rests[2]) > 1e-6)  # near ties hang on rounding
-    return d.where(apart).select("k", r(amounts[0] + amounts[1] + amounts[2], 4).alias("amount"))
+    return densities(spark, sf_dir).select("k", r(amounts[0] + amounts[1] + amounts[2], 4).alias("amount"))
 
 
-@query(f"WITH {_BGR} SELECT k, CAST(round(0.114 * b + 0.587 * gr + 0.299 * re) AS INTEGER) AS luma, round({_lin('b')}, 5) AS linear FROM c WHERE abs(fmod(0.114 * b + 0.587 * gr + 0.299 * re, 1.0) - 0.5) > 1e-6")
+@query(f"WITH {_BGR} SELECT k, CAST(round(0.114 * b + 0.587 * gr + 0.299 * re) AS INTEGER) AS luma, round({_lin('b')}, 5) AS linear FROM c")
 def luma(spark, sf_dir):
-    c = bgr(spark, sf_dir).where(F.abs((0.114 * F.col("b") + 0.587 * F.col("gr") + 0.299 * F.col("re")) % 1.0 - 0.5) > 1e-6)
-    return c.select("k", colour.luma("b", "gr", "re").alias("luma"), r(colour.to_linear("b")).alias("linear"))
+    return bgr(spark, sf_dir).select("k", colour.luma("b", "gr", "re").alias("luma"), r(colour.to_linear("b")).alias("linear"))
 
 
 @query(f"""WITH {_BGR}, m AS (SELECT g, CAST(round_even(median(b), 0) AS INTEGER) AS b, CAST(round_even(median(gr), 0) AS INTEGER) AS gr, CAST(round_even(median(re), 0) AS INTEGER) AS re FROM c GROUP BY 1)

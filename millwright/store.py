@@ -7,15 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset, a folder of this machine is set if all
-    tasks run on it, as in tests; on a cluster that would lose rows, so it is an error there."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, one folder of this machine for each application,
+    if all its tasks run here, as in tests; on a cluster that would lose rows, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="millwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="millwright-")
+        found = _own[app]
     return found.rstrip("/")
 
 
