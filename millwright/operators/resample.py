@@ -1,66 +1,10 @@
-"""Resampling: the Gap statistic for the number of clusters, and bootstrap intervals of a mean."""
+"""Resampling: bootstrap intervals of a mean."""
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: cluster centres, or other points of one small analysis; more is an error
-MOST_POINTS = 20_000
-
-
-def _inertia(p: np.ndarray, k: int, rng, restarts: int) -> float:
-    best = math.inf
-    for _ in range(restarts):
-        centres = p[[rng.integers(len(p))]]
-        while len(centres) < k:
-            d = ((p[:, None] - centres) ** 2).sum(2).min(1)
-            centres = np.vstack([centres, p[rng.choice(len(p), p=d / d.sum()) if d.sum() else rng.integers(len(p))]])
-        for _ in range(150):
-            near = ((p[:, None] - centres) ** 2).sum(2).argmin(1)
-            moved = np.array([p[near == c].mean(0) if (near == c).any() else centres[c] for c in range(k)])
-            done = ((moved - centres) ** 2).sum() <= 1e-18
-            centres = moved
-            if done:
-                break
-        best = min(best, float(((p[:, None] - centres) ** 2).sum(2).min(1).sum()))
-    return best
-
-
-def gap_statistic(points: DataFrame, dims: list[str], max_k: int = 6, references: int = 250, restarts: int = 6, seed: int = 0) -> DataFrame:
-    """k, log_inertia, gap, se, chosen: the smallest k with Gap(k) >= Gap(k+1) - se(k+1), else the largest.
-
-    References are uniform in the points' bounding box, one task row for each and k. No points give no
-    rows; k stays below the number of points and at most that of distinct points.
-    """
-    spark = points.sparkSession
-    rows = points.select(*[F.col(d).cast("double") for d in dims]).dropna().limit(MOST_POINTS + 1).collect()
-    if len(rows) > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} points")
-    p = np.array([tuple(r) for r in rows], float).reshape(-1, len(dims))
-    ks = max(1, min(max_k, len(np.unique(p, axis=0)), len(p) - 1)) if len(p) else 0
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for t in f["id"]:
-                ref, k = int(t) // ks, int(t) % ks + 1
-                rng = np.random.default_rng([seed, ref, k])
-                own = p if ref == 0 else np.random.default_rng([seed, ref]).uniform(p.min(0), p.max(0), p.shape)
-                out.append((ref, k, math.log(max(_inertia(own, k, rng, restarts), 1e-12))))
-            import pandas as pd
-
-            yield pd.DataFrame(out, columns=["ref", "k", "w"])
-
-    logs = spark.range((references + 1) * ks).mapInPandas(run, "ref int, k int, w double")
-    own = F.max(F.when(F.col("ref") == 0, F.col("w")))
-    of_refs = F.when(F.col("ref") > 0, F.col("w"))
-    table = logs.groupBy("k").agg(own.alias("log_inertia"), (F.avg(of_refs) - own).alias("gap"), (F.stddev_samp(of_refs) * math.sqrt(1 + 1 / references)).alias("se"))
-    every = F.array_sort(F.collect_list(F.struct("k", "gap", "se")))
-    choice = table.agg(every.alias("a")).select(F.expr("coalesce(element_at(filter(a, (x, i) -> i + 1 < size(a) and x.gap >= a[i + 1].gap - a[i + 1].se), 1).k, size(a))").alias("c")) if ks > 1 else spark.range(1).select(F.lit(1).alias("c"))
-    return table.join(F.broadcast(choice)).select("k", "log_inertia", "gap", "se", (F.col("k") == F.col("c")).alias("chosen"))
-
 
 def bootstrap_mean(df: DataFrame, group: list[str], unit: str, value: str, repetitions: int = 1000, seed: int = 0) -> DataFrame:
     """group, mean, low, high: 95 % interval of the mean of ``value`` when whole units are drawn anew.

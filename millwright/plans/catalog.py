@@ -8,7 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from millwright.functions import scalar
-from millwright.operators import cluster, consensus, resample, robust, select, sequence
+from millwright.operators import cluster, consensus, kmeans, resample, robust, select, sequence
 
 QUERIES, SQL = {}, {}
 
@@ -445,9 +445,15 @@ def consensus_line(spark, sf_dir):
     return found.select("l_orderkey", r("slope").alias("slope"), r("intercept").alias("intercept"), F.col("n").cast("long").alias("n"), r("mse").alias("mse"), "span")
 
 
+@query()
+def kmeans_restarts(spark, sf_dir):
+    got = kmeans.centres(points(spark, sf_dir), ["x", "y"], 4)
+    return got.select("c", r("x").alias("x"), r("y").alias("y"), "n", r("inertia", 5).alias("inertia"))
+
+
 @query()
 def gap_statistic(spark, sf_dir):
-    return resample.gap_statistic(t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("a"), F.count("*").alias("n")), ["a", "n"])
+    return kmeans.gap_statistic(t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("a"), F.count("*").alias("n")), ["a", "n"])
 
 
 @query()

@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from millwright.plans import catalog, studies
+from millwright.plans import catalog, shapes, studies
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,8 +40,8 @@ def duck():
     return con
 
 
-QUERIES = catalog.queries() | studies.queries()
-SQL = catalog.oracle_sql() | studies.oracle_sql()
+QUERIES = catalog.queries() | studies.queries() | shapes.queries()
+SQL = catalog.oracle_sql() | studies.oracle_sql() | shapes.oracle_sql()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -1,7 +1,7 @@
 import json
 
 import numpy as np
-from millwright.operators import consensus, resample
+from millwright.operators import consensus, kmeans, resample
 from millwright.sources import measurements as ms
 
 
@@ -33,7 +33,7 @@ def test_documents(spark, tmp_path):
 def test_gap(spark):
     rng = np.random.default_rng(3)
     two = np.vstack([rng.normal(-2, 0.15, (35, 2)), rng.normal(2, 0.15, (35, 2))])
-    chosen = lambda p, **k: [r.k for r in resample.gap_statistic(spark.createDataFrame([tuple(map(float, x)) for x in p], "a double, b double"), ["a", "b"], **k).collect() if r.chosen]
+    chosen = lambda p, **k: [r.k for r in kmeans.gap_statistic(spark.createDataFrame([tuple(map(float, x)) for x in p], "a double, b double"), ["a", "b"], **k).collect() if r.chosen]
     assert chosen(two, max_k=4, references=40) == [2]
     assert chosen([(3, 4)] * 4, references=5) == [1]
 

@@ -4,7 +4,7 @@ import math
 import random
 import re
 
-from millwright.operators import cluster, resample, sequence
+from millwright.operators import cluster, kmeans, resample, sequence
 from millwright.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -60,8 +60,8 @@ def test_resampling_queries_draw_the_defaults(spark, monkeypatch):
     import inspect
 
     drawn = {}
-    for name, count in (("gap_statistic", "references"), ("bootstrap_mean", "repetitions")):
-        plain = inspect.signature(getattr(resample, name))
-        monkeypatch.setattr(resample, name, lambda *a, plain=plain, count=count, name=name, **k: drawn.update({name: (plain.bind(*a, **k).arguments.get(count, plain.parameters[count].default))}))
+    for of, name, count in ((kmeans, "gap_statistic", "references"), (resample, "bootstrap_mean", "repetitions")):
+        plain = inspect.signature(getattr(of, name))
+        monkeypatch.setattr(of, name, lambda *a, plain=plain, count=count, name=name, **k: drawn.update({name: (plain.bind(*a, **k).arguments.get(count, plain.parameters[count].default))}))
         catalog.queries()[name](spark, SF)
     assert drawn == {"gap_statistic": 250, "bootstrap_mean": 1000}
