@@ -41,9 +41,12 @@ class Cut:
         fs.deleteOnExit(path)
         self.df = self.spark.read.schema(df.schema).parquet(self.where)
 
-    def drop(self) -> None:
+    def drop(self, shuffles: bool = True) -> None:
+        """Removes the table, and with ``shuffles`` what the jobs before it left, which costs a collection."""
         fs, path = _path(self.spark, self.where)
         fs.delete(path, True)
+        if not shuffles:
+            return
         # shuffle files go when their last reference is collected
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
