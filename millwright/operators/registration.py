@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions import geometry, scalar
-from millwright.operators.robust import MAD_SIGMA, join_groups, outliers, quantiles
+from millwright.operators.robust import MAD_SIGMA, join_groups, medians, outliers, quantiles
+from millwright.store import cut
 
 # fixed values
 SCALES, ROTATION, SHEAR, COHORT = (0.80, 1.25), 3.0, 0.05, 0.04
@@ -27,15 +28,14 @@ def plausible(df: DataFrame, group: list[str], converged: Column) -> DataFrame:
         finite = finite & F.col(k).isNotNull() & ~F.isnan(k) & (F.abs(k) < F.lit(math.inf))
     gate = converged & finite & F.col("scale_x").between(*SCALES) & F.col("scale_y").between(*SCALES) & (F.abs("rotation_deg") <= ROTATION) & (F.abs("shear") <= SHEAR)
     made = made.withColumn("_gate", F.coalesce(gate, F.lit(False)))
+    logs = {f"_m{axis}": F.log(F.col(f"scale_{axis}")) for axis in "xy"}
+    made = join_groups(made, medians(made, group, logs, F.col("_gate")), group, "left")
+    off = {f"_s{axis}": F.abs(logs[f"_m{axis}"] - F.col(f"_m{axis}")) for axis in "xy"}
+    made = join_groups(made, medians(made, group, off, F.col("_gate")).select(*group, *off), group, "left")
     accepted = F.col("_gate")
     for axis in "xy":
-        x = F.log(F.col(f"scale_{axis}"))
-        mid = quantiles(made, group, x, {f"_m{axis}": 0.5}, F.col("_gate")).withColumnRenamed("n", f"_n{axis}")
-        made = join_groups(made, mid, group, "left")
-        off = F.abs(F.log(F.col(f"scale_{axis}")) - F.col(f"_m{axis}"))
-        made = join_groups(made, quantiles(made, group, off, {f"_s{axis}": 0.5}, F.col("_gate")).drop("n"), group, "left")
         radius = F.greatest(F.lit(math.log1p(COHORT)), 6 * MAD_SIGMA * F.col(f"_s{axis}"))
-        accepted = accepted & ((F.col(f"_n{axis}") < 3) | (off <= radius))
+        accepted = accepted & ((F.col(f"n__m{axis}") < 3) | (off[f"_s{axis}"] <= radius))
     return made.select(*df.columns, F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
@@ -82,8 +82,8 @@ def recentred(df: DataFrame, group: list[str], x: float, y: float) -> DataFrame:
     """Rigid maps with the group's median rotation, and its median displacement of (x, y), set to zero."""
     at_x, at_y = geometry.apply_affine(MAP, F.lit(x), F.lit(y))
     made = df.withColumns({"_turn": F.atan2("c", "a"), "_dx": at_x - x, "_dy": at_y - y})
-    for k in ("_turn", "_dx", "_dy"):
-        made = join_groups(made, quantiles(made, group, k, {f"{k}_m": 0.5}).drop("n"), group)
+    mids = medians(made, group, {f"{k}_m": k for k in ("_turn", "_dx", "_dy")})
+    made = join_groups(made, mids, group)
     turn, dx, dy = (F.col(k) - F.col(f"{k}_m") for k in ("_turn", "_dx", "_dy"))
     cos, sin = F.cos(turn), F.sin(turn)
     new = {"a": cos, "b": -sin, "tx": x + dx - (cos * x - sin * y), "c": sin, "d": cos, "ty": y + dy - (sin * x + cos * y)}
@@ -93,21 +93,22 @@ def recentred(df: DataFrame, group: list[str], x: float, y: float) -> DataFrame:
 def trimmed_shift(df: DataFrame, group: list[str], x: str, y: str, least: int = 100, keep: float = 0.85) -> DataFrame:
     """Per group the median vector, again without what is farther from it than the ``keep`` quantile, and the
     MAD scatter of what is left around it. Below ``least`` vectors shift and scatter are 0."""
-    few = df.groupBy(*group).agg(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
+    given = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
 
-    def centre(rows):
-        return quantiles(rows, group, x, {"_cx": 0.5}).drop("n").join(quantiles(rows, group, y, {"_cy": 0.5}).drop("n"), group)
+    def around(rows, name):
+        """Rows and their distance from the median vector, written: what follows reads them, and doesn't make them again."""
+        near = join_groups(rows, medians(rows, group, {"_cx": "_x", "_cy": "_y"}).select(*group, "_cx", "_cy"), group)
+        return cut(near.withColumn("_r", F.hypot(F.col("_x") - F.col("_cx"), F.col("_y") - F.col("_cy"))), name)
 
-    def around(rows):
-        near = join_groups(rows.drop("_cx", "_cy", "_r"), centre(rows), group)
-        return near.withColumn("_r", F.hypot(F.col(x) - F.col("_cx"), F.col(y) - F.col("_cy")))
-
-    first = around(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()))
-    kept = join_groups(first, quantiles(first, group, "_r", {"_far": keep}).drop("n"), group).where("_r <= _far").drop("_far")
-    last = around(kept)
+    first = around(given, "shift-first")
+    kept = join_groups(first, quantiles(first, group, "_r", {"_far": keep}).drop("n"), group).where("_r <= _far")
+    last = around(kept.select(*group, "_x", "_y"), "shift-kept")
     mid = join_groups(last, quantiles(last, group, "_r", {"_rm": 0.5}).drop("n"), group).withColumn("_off", F.abs(F.col("_r") - F.col("_rm")))
     spread = quantiles(mid, group, "_off", {"_s": 0.5}).drop("n")
-    found = few.join(centre(kept), group, "left").join(spread, group, "left")
+    centre = last.groupBy(*group).agg(F.first("_cx").alias("_cx"), F.first("_cy").alias("_cy"))
+    few = first.groupBy(*group).agg(F.count("*").alias("n"))
+    none = df.select(*group).distinct()
+    found = join_groups(join_groups(join_groups(none, few, group, "left"), centre, group, "left"), spread, group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     enough = F.col("n") >= least
     return found.select(*group, "n", *[F.when(enough, v).otherwise(0.0).alias(k) for k, v in (("shift_x", F.col("_cx")), ("shift_y", F.col("_cy")), ("scatter", MAD_SIGMA * F.col("_s")))])
 

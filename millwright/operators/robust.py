@@ -33,10 +33,27 @@ def mode_split(df: DataFrame, group: list[str], pair: list[str]) -> DataFrame:
     return made.withColumn("inlier", F.coalesce(same, F.lit(False))).withColumn("reason", F.when(tied, "no unique mode").when(same, "mode").otherwise("differs"))
 
 
+def ranged(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with ``_range``: written in ranges of ``order``, of which each holds a run of the sorted rows.
+
+    Written once, as a second run of the same plan could draw other borders.
+    """
+    return cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+
+
 def deltas(df: DataFrame, partition: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Next minus current of each value."""
-    w = Window.partitionBy(*partition).orderBy(*order) if partition else Window.partitionBy(F.lit(0)).orderBy(*order)
-    return df.select(*df.columns, *[(F.lead(v).over(w) - F.col(v)).alias(f"delta_{v}") for v in values])
+    """Next minus current of each value. Without ``partition`` the rows are one series, in ranges: each range's last row
+    takes the first row of the next one, so no task holds the series."""
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(*order)
+        return df.select(*df.columns, *[(F.lead(v).over(w) - F.col(v)).alias(f"delta_{v}") for v in values])
+    rows = ranged(df, order, "series")
+    first = rows.groupBy("_range").agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
+    after = first.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))  # a row a range
+    w = Window.partitionBy("_range").orderBy(*order)
+    told = rows.withColumn("_next", F.lead(F.struct(*values)).over(w)).join(F.broadcast(after), "_range")
+    next_ = F.coalesce("_next", "_after")
+    return told.select(*df.columns, *[(next_[v] - F.col(v)).alias(f"delta_{v}") for v in values])
 
 
 def quantiles(df: DataFrame, group: list[str], value, fractions: dict[str, float], also: Column | None = None) -> DataFrame:
@@ -61,6 +78,15 @@ def quantiles(df: DataFrame, group: list[str], value, fractions: dict[str, float
     return ranked.groupBy(*group).agg(*made, F.max("_n").alias("n"))
 
 
+def medians(df: DataFrame, group: list[str], values: dict, also: Column | None = None) -> DataFrame:
+    """Medians of several values in one pass: group, the names of ``values`` (name -> column), and ``n_<name>`` of each."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (v if isinstance(v, Column) else F.col(v)).cast("double").alias("v")) for k, v in values.items()]))
+    rows = df.select(*group, (F.lit(True) if also is None else also).alias("_u"), stacked.alias("_s")).where("_u").select(*group, "_s.k", "_s.v")
+    told = quantiles(rows.withColumnRenamed("k", "_which"), [*group, "_which"], "v", {"_m": 0.5})
+    pick = lambda c, k: F.max(F.when(F.col("_which") == k, F.col(c)))
+    return told.groupBy(*group).agg(*[pick("_m", k).alias(k) for k in values], *[F.coalesce(pick("n", k), F.lit(0)).alias(f"n_{k}") for k in values])
+
+
 def join_groups(df: DataFrame, few: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
     """One row a group joined to its rows; a null key is a group too. Without keys the one row is attached."""
     if not group:

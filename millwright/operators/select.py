@@ -56,11 +56,29 @@ def before_after(before: DataFrame, after: DataFrame, keys: list[str], value: st
 
 
 def leave_one_out(df: DataFrame, group: str, member: str, value: str, least: int) -> DataFrame:
-    """Per (group, member) the median over the group's other members, if they have ``least`` values."""
-    members = df.select(group, member).distinct()
-    others = df.select(F.col(group).alias("_g"), F.col(member).alias("_m"), F.col(value).cast("double").alias("_v"))
-    pairs = members.join(others, (F.col(group) == F.col("_g")) & (F.col(member) != F.col("_m")))
-    return pairs.groupBy(group, member).agg(F.median("_v").alias("_ref"), F.count("_v").alias("n")).select(group, member, "n", F.when(F.col("n") >= least, F.col("_ref")).alias("reference"))
+    """Per (group, member) the median over the group's other members, if they have ``least`` values.
+
+    The k-th of the others is among the k-th to the (k + own)-th of all, so a member looks at as many rows as it
+    has, and two more: work and rows stay linear however large the group. Null values don't count;
+    rows with a null group or member neither. A group's only member has no row.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(F.col(group).alias("_g"), F.col(member).alias("_m"), F.col(value).cast("double").alias("_v"))
+    sizes = rows.groupBy("_g", "_m").agg(F.count("_v").alias("_own"))
+    every = Window.partitionBy("_g")
+    sizes = sizes.withColumns({"_n": F.sum("_own").over(every) - F.col("_own"), "_members": F.count("*").over(every)}).where("_members > 1")
+    sizes = sizes.withColumns({"_low": F.floor((F.col("_n") - 1) / 2), "_high": F.floor(F.col("_n") / 2)})
+    ranked = rows.where("_v is not null").withColumn("_i", F.row_number().over(every.orderBy("_v", "_m")) - 1)
+    before = ranked.join(sizes.select("_g", "_m", "_low"), ["_g", "_m"]).groupBy("_g", "_m").agg(F.count_if(F.col("_i") < F.col("_low")).alias("_before"))
+    asked = sizes.where("_n > 0").withColumn("_i", F.explode(F.sequence("_low", F.col("_high") + F.col("_own"))))
+    met = asked.join(ranked.withColumnRenamed("_m", "_of"), ["_g", "_i"])
+    own = (F.col("_of") == F.col("_m")).cast("int")
+    inside = F.sum(own).over(Window.partitionBy("_g", "_m").orderBy("_i"))
+    met = met.withColumns({"_mine": own, "_inside": inside}).where("_mine = 0").join(before, ["_g", "_m"], "left")
+    at = F.col("_i") - F.col("_inside") - F.coalesce("_before", F.lit(0))
+    pick = lambda k: F.max(F.when(at == F.col(k), F.col("_v")))
+    found = met.groupBy("_g", "_m").agg(((pick("_low") + pick("_high")) / 2).alias("_ref"))
+    told = sizes.join(found, ["_g", "_m"], "left")
+    return told.select(F.col("_g").alias(group), F.col("_m").alias(member), F.col("_n").alias("n"), F.when(F.col("_n") >= least, F.col("_ref")).alias("reference"))
 
 
 def reconcile(a, b, tolerance: float = 0.05, divisors=(1, 2, 3)) -> tuple[Column, Column, Column]:

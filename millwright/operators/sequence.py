@@ -4,10 +4,10 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millwright.functions.scalar import natural_key
+from millwright.operators.robust import ranged
 
 
 def sustained_run(df: DataFrame, series: list[str], position: str, flag, length: int = 4) -> DataFrame:
@@ -86,7 +86,10 @@ def hysteresis(df: DataFrame, series: list[str], position: str, value: str, low,
 def natural_order(df: DataFrame, name: str, tie: str) -> DataFrame:
     """``df`` with ``place``, from 1, in the natural order of ``name`` (nulls first), equal ones by ``tie``.
 
-    Sorted in ranges; each range's rows are numbered on from the count of the ranges before it.
+    Written in ranges of the order; each range's rows are numbered on from the count of the ranges before it.
     """
-    ranked = df.orderBy(natural_key(name), tie).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(ranked, T.StructType([*df.schema.fields, T.StructField("place", T.LongType())]))
+    rows = ranged(df.withColumn("_key", natural_key(name)), ["_key", tie], "order")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key", tie))
+    return rows.join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + place).alias("place"))

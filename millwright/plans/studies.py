@@ -325,10 +325,7 @@ def luma(spark, sf_dir):
 @query(f"""WITH {_BGR}, m AS (SELECT g, CAST(round_even(median(b), 0) AS INTEGER) AS b, CAST(round_even(median(gr), 0) AS INTEGER) AS gr, CAST(round_even(median(re), 0) AS INTEGER) AS re FROM c GROUP BY 1)
 SELECT g, printf('#%02X%02X%02X', re, gr, b) AS hex FROM m""")
 def median_colour(spark, sf_dir):
-    made = None
-    for c in ("b", "gr", "re"):
-        one = robust.quantiles(bgr(spark, sf_dir), ["g"], c, {c: 0.5}).drop("n")
-        made = one if made is None else made.join(one, "g")
+    made = robust.medians(bgr(spark, sf_dir), ["g"], {c: c for c in ("b", "gr", "re")})
     return made.select("g", colour.bgr_hex("b", "gr", "re").alias("hex"))
 
 
