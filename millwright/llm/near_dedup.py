@@ -25,7 +25,7 @@ from millwright.llm.batches import resident
 from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.components import components
 from millwright.llm.rolling import R, mix
-from millwright.llm.store import Cut, cut
+from millwright.store import Cut, cut
 
 BANDS, ROWS = 27, 4
 REGISTERS = BANDS * ROWS

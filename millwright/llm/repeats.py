@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.rolling import Hashes, mix, sliding_min
-from millwright.llm.store import Cut, cut
+from millwright.store import Cut, cut
 
 SPAN, GRAM, RUN = 400, 64, 16
 WIDTH = SPAN - GRAM + 1  # q-grams of a window
