@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions import geometry, scalar
-from millwright.operators.robust import MAD_SIGMA, join_groups, medians, outliers, quantiles
+from millwright.operators.robust import MAD_SIGMA, join_groups, medians, quantiles
 from millwright.store import cut
 
 # fixed values
@@ -42,11 +42,15 @@ def plausible(df: DataFrame, group: list[str], converged: Column) -> DataFrame:
 def status(df: DataFrame, group: list[str]) -> DataFrame:
     """Adds ``registration_status`` and ``registration_reasons`` (rejections first), and moves the sizes of rejected
     rows to ``candidate_*``."""
-    log4 = math.log1p(COHORT)
-    checks = [("scale_x", log4, True, False), ("scale_y", log4, True, False), ("residual_rotation_deg", 2.0, False, False), ("unconstrained_shear", 0.02, False, False), ("residual_rms", 0.15, False, True)]
-    made = df
-    for name, least, log, upper in checks:
-        made = outliers(made, group, name, least, log=log, upper_only=upper).drop("median", "radius").withColumnRenamed("outlier", f"_{name}")
+    # fixed values: name, least radius, whether logarithms are compared, whether only large values stand out
+    checks = [("scale_x", math.log1p(COHORT), True, False), ("scale_y", math.log1p(COHORT), True, False), ("residual_rotation_deg", 2.0, False, False), ("unconstrained_shear", 0.02, False, False), ("residual_rms", 0.15, False, True)]
+    x = {n: F.log(F.col(n)) if log else F.col(n).cast("double") for n, _, log, _ in checks}
+    made = join_groups(df, medians(df, group, {f"_m_{n}": v for n, v in x.items()}).select(*group, *[f"_m_{n}" for n in x]), group, "left")
+    off = {n: F.abs(v - F.col(f"_m_{n}")) for n, v in x.items()}
+    made = join_groups(made, medians(made, group, {f"_s_{n}": v for n, v in off.items()}).select(*group, *[f"_s_{n}" for n in x]), group, "left")
+    far = {n: (x[n] - F.col(f"_m_{n}") if upper else off[n]) > F.greatest(F.lit(least), 6 * MAD_SIGMA * F.col(f"_s_{n}")) for n, least, _, upper in checks}
+    made = made.withColumns({f"_{n}": v for n, v in far.items()})
+    # the reasons are output values and fixed
     why = lambda cond, text: F.when(cond, text if isinstance(text, Column) else F.lit(text))
     rejected = F.array_compact(F.array(why(F.col("_scale_x"), "scale_x cohort outlier"), why(F.col("_scale_y"), "scale_y cohort outlier"), why(F.col("accepted_affine_updates") == 0, "no accepted affine refinement")))
     review = F.array_compact(

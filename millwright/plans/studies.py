@@ -391,6 +391,71 @@ def corner_phases(spark, sf_dir):
     return got.select("k", *[r(c).alias(c) for c in ("horizontal_phase", "vertical_phase", "center_separation", "phase_mismatch")])
 
 
+@query("""WITH d AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 > 0 THEN s_suppkey % 10 / 1e1 END AS tilt, CASE WHEN s_suppkey % 13 > 0 THEN s_suppkey % 6 / 5e0 END AS scatter, s_suppkey % 29 / 2e0 AS strength, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 4 / 1e2 END AS held FROM supplier)
+SELECT k, CAST(greatest(1, ceil(0.6::DOUBLE * k)) AS INTEGER) AS quorum, coalesce(CASE WHEN scatter = 0 THEN tilt > 0 ELSE tilt >= 0.9::DOUBLE * scatter END, false) AS resolved,
+CASE WHEN strength >= 10 THEN 'accept' WHEN strength < 4.5 THEN 'reject' WHEN held >= 0.01::DOUBLE THEN 'accept' ELSE 'reject' END AS decision, round(tilt * 7 / (2 * pi()) - floor(tilt * 7 / (2 * pi())), 6) AS turn FROM d""")
+def collection_decisions(spark, sf_dir):
+    k = F.col("s_suppkey")
+    d = t(spark, sf_dir, "supplier").select(k.alias("k"), F.when(k % 11 > 0, k % 10 / 10).alias("tilt"), F.when(k % 13 > 0, k % 6 / 5).alias("scatter"), (k % 29 / 2).alias("strength"), F.when(k % 3 > 0, k % 4 / 100).alias("held"))
+    return d.select("k", scalar.quorum("k").alias("quorum"), scalar.direction_resolved("tilt", "scatter").alias("resolved"), scalar.screen_decision("strength", "held").alias("decision"), r(scalar.turn(F.col("tilt") * 7), 6).alias("turn"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS k, p_size AS a, p_partkey % 7 AS b FROM part), n AS (SELECT k, unnest(CASE WHEN b = 6 THEN [] ELSE list_concat(range(a, a + b), [a + 1, 60]) END) AS v FROM s)
+SELECT s.k, string_agg(DISTINCT v, ' ' ORDER BY v) AS numbers FROM s LEFT JOIN n ON s.k = n.k GROUP BY 1""")
+def listed_numbers(spark, sf_dir):
+    a, b = F.col("p_size"), F.col("p_partkey") % 7
+    text = F.when(b == 6, F.concat(a.cast("string"), F.lit("-x"))).otherwise(F.concat_ws(",", F.concat(a.cast("string"), F.lit("-"), (a + b - 1).cast("string")), F.lit(" 60 "), (a + 1).cast("string"), F.lit("")))
+    found = study.number_ranges("text")
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), text.alias("text")).select("k", F.when(found.isNotNull(), F.array_join(F.transform(found, lambda x: x.cast("string")), " ")).alias("numbers"))
+
+
+_COHORT = """co AS (SELECT p_partkey AS k, p_brand AS g, CASE WHEN p_partkey % 83 = 0 THEN 15e-1 ELSE 1 + p_partkey % 97 / 5e3 END AS scale_x, CASE WHEN p_partkey % 71 = 1 THEN NULL ELSE 1 + p_partkey % 89 / 5e3 END AS scale_y,
+CASE WHEN p_partkey % 67 = 2 THEN 9e0 ELSE p_partkey % 13 / 1e1 END AS residual_rotation_deg, CASE WHEN p_partkey % 61 = 3 THEN 3e-1 ELSE p_partkey % 11 / 1e3 END AS unconstrained_shear, CASE WHEN p_partkey % 59 = 4 THEN 2e0 WHEN p_partkey % 59 = 5 THEN -2e0 ELSE p_partkey % 17 / 1e2 END AS residual_rms,
+CASE WHEN p_partkey % 53 = 0 THEN 0 ELSE 3 END AS accepted_affine_updates, CASE WHEN p_partkey % 47 = 0 THEN 2 ELSE 0 END AS alignment_failures, CASE WHEN p_partkey % 43 = 0 THEN 1 ELSE 0 END AS alignment_rejections, 20 + p_size / 1e1 AS design_width_mm FROM part)"""
+_CHECKED = {"scale_x": "ln(scale_x)", "scale_y": "ln(scale_y)", "residual_rotation_deg": "residual_rotation_deg", "unconstrained_shear": "unconstrained_shear", "residual_rms": "residual_rms"}
+
+
+def _far(name: str, least: str, upper: bool = False) -> str:
+    x = _CHECKED[name]
+    return f"coalesce({f'{x} - m_{name}' if upper else f'abs({x} - m_{name})'} > greatest({least}, 6 * 1.4826 * s_{name}), false)"
+
+
+@query(f"""WITH {_COHORT}, m AS (SELECT g, {", ".join(f"median({x}) AS m_{n}" for n, x in _CHECKED.items())} FROM co GROUP BY g),
+s AS (SELECT g, {", ".join(f"median(abs({x} - m_{n})) AS s_{n}" for n, x in _CHECKED.items())} FROM co JOIN m USING (g) GROUP BY g),
+f AS (SELECT co.*, {_far("scale_x", "ln(1.04::DOUBLE)")} AS fx, {_far("scale_y", "ln(1.04::DOUBLE)")} AS fy, {_far("residual_rotation_deg", "2.0")} AS fr, {_far("unconstrained_shear", "0.02")} AS fs, {_far("residual_rms", "0.15", True)} AS fm FROM co JOIN m USING (g) JOIN s USING (g)),
+r AS (SELECT *, concat_ws('; ', CASE WHEN fx THEN 'scale_x cohort outlier' END, CASE WHEN fy THEN 'scale_y cohort outlier' END, CASE WHEN accepted_affine_updates = 0 THEN 'no accepted affine refinement' END) AS out,
+concat_ws('; ', CASE WHEN alignment_failures <> 0 THEN alignment_failures || ' ECC failures' END, CASE WHEN alignment_rejections <> 0 THEN alignment_rejections || ' implausible ECC updates' END, CASE WHEN fr THEN 'residual rotation outlier' END, CASE WHEN fs THEN 'free shear outlier' END, CASE WHEN fm THEN 'residual RMS outlier' END) AS rev FROM f)
+SELECT k, CASE WHEN out <> '' THEN 'rejected' WHEN rev <> '' THEN 'review' ELSE 'ok' END AS registration_status, concat_ws('; ', nullif(out, ''), nullif(rev, '')) AS reasons, CASE WHEN out = '' THEN design_width_mm END AS design_width_mm, CASE WHEN out <> '' THEN design_width_mm END AS candidate_design_width_mm FROM r""")
+def registration_status(spark, sf_dir):
+    p, size = F.col("p_partkey"), F.col("p_size")
+    rows = t(spark, sf_dir, "part").select(
+        p.alias("k"), F.col("p_brand").alias("g"), F.when(p % 83 == 0, 1.5).otherwise(1 + p % 97 / 5000).alias("scale_x"), F.when(p % 71 != 1, 1 + p % 89 / 5000).alias("scale_y"), F.when(p % 67 == 2, 9.0).otherwise(p % 13 / 10).alias("residual_rotation_deg"),
+        F.when(p % 61 == 3, 0.3).otherwise(p % 11 / 1000).alias("unconstrained_shear"), F.when(p % 59 == 4, 2.0).when(p % 59 == 5, -2.0).otherwise(p % 17 / 100).alias("residual_rms"), F.when(p % 53 == 0, 0).otherwise(3).alias("accepted_affine_updates"),
+        F.when(p % 47 == 0, 2).otherwise(0).alias("alignment_failures"), F.when(p % 43 == 0, 1).otherwise(0).alias("alignment_rejections"), (20 + size / 10).alias("design_width_mm"),
+    )
+    return registration.status(rows, ["g"]).select("k", "registration_status", F.array_join("registration_reasons", "; ").alias("reasons"), "design_width_mm", "candidate_design_width_mm")
+
+
+@query(f"""{_DENSITY}, a AS (SELECT k, x, y, z, 0.8 * x + 0.6 * y AS p, 0.6 * y + 0.8 * z AS q, 0.36::DOUBLE AS h FROM d), e AS (SELECT *, (p - h * q) / (1 - h * h) AS s, (q - h * p) / (1 - h * h) AS u FROM a)
+SELECT k, round(CASE WHEN s >= 0 AND u >= 0 THEN s WHEN p >= q THEN greatest(p, 0) ELSE 0 END, 6) AS first, round(CASE WHEN s >= 0 AND u >= 0 THEN u WHEN p >= q THEN 0 ELSE greatest(q, 0) END, 6) AS second FROM e""")
+def unmixed_two(spark, sf_dir):
+    one, two = colour.unmix_two([F.col(c) for c in "xyz"], *RAYS)
+    return densities(spark, sf_dir).select("k", r(one, 6).alias("first"), r(two, 6).alias("second"))
+
+
+def _layered(k: int) -> str:
+    paper = _lin(str(PAPER[k]))
+    x = f"least(greatest({paper} * pow(10.0::DOUBLE, -(greatest(p, 0) * {RAYS[0][k]} + greatest(q, 0) * {RAYS[1][k]})), 0), 1)"
+    return f"CAST(floor(least(greatest(CASE WHEN {x} <= 0.0031308 THEN {x} * 12.92 ELSE 1.055 * pow({x}, 1 / 2.4::DOUBLE) - 0.055 END * 255, 0), 255)) AS INTEGER)"
+
+
+@query(f"""WITH l AS (SELECT p_partkey AS k, (p_partkey % 37 - 5) / 3e1 AS p, (p_size - 3) / 4e1 AS q FROM part) SELECT k, {_layered(0)} AS b, {_layered(1)} AS gr, {_layered(2)} AS re FROM l""")
+def rebuilt_colour(spark, sf_dir):
+    amounts = [(F.col("p_partkey") % 37 - 5) / 30, (F.col("p_size") - 3) / 40]
+    made = colour.rebuilt(amounts, RAYS, [F.lit(p) for p in PAPER])
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *[m.alias(n) for m, n in zip(made, ("b", "gr", "re"), strict=True)])
+
+
 @query()
 def two_clusters(spark, sf_dir):
     p = t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
