@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and is written
 and read again as the next one's input. All but the last return the columns of ``documents``.
+
+Null and empty texts are judged as empty ones: the rules drop them, as they have fewer than 50 words. Rows with a null
+id are judged like others; of a group of near copies the smallest id that isn't null stays, and of repeated rows one.
+Nulls in other columns pass through. A repeated string goes from every text that holds it; n_chars, where there, follows
+the text. Ties don't arise but in packing, where any place will do. Empty tables give empty results. Other columns aren't read.
 """
 
 import public_tokenizers
@@ -43,8 +48,8 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Training, expectation-maximisation, components and packing are not expressible in SQL. The operators
-#: of the stages are tested against brute force in tests/llm; the pipeline as a whole isn't yet.
+#: Training, expectation-maximisation, components and packing are not expressible in SQL. tests/llm/test_pipeline.py
+#: holds every stage against brute force on its own input, tests/llm the operators.
 ORACLE_SQL = None
 
 
