@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.batches import resident
+from millwright.llm.batches import resident, vacate
 from millwright.llm.bitmaps import bitmap, has
 from millwright.llm.components import components
 from millwright.llm.rolling import R, mix
@@ -151,6 +151,7 @@ def _bands(vertices: DataFrame, open_: np.ndarray | None) -> DataFrame:
     schema = T.StructType([T.StructField("id", T.LongType())] + ([T.StructField("band", T.IntegerType()), T.StructField("v", T.BinaryType()), T.StructField("n", T.LongType())] if open_ is not None else []))
 
     def run(batches):
+        vacate()
         for batch in batches:
             v, n = (batch.column(batch.schema.get_field_index(k)) for k in ("v", "n"))
             raw = batch.column(batch.schema.get_field_index("registers"))
@@ -345,6 +346,7 @@ def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, sets
             v, c = cols["v"].combine_chunks(), cols["comp"].combine_chunks()
             return pa.RecordBatch.from_arrays([v.take(pa.array(a)), v.take(pa.array(b)), c.take(pa.array(a)), c.take(pa.array(b)), pa.array(e), pa.array(np.full(len(a), more))], names=schema.names)
 
+        vacate()
         held = []
         last = None
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millwright.llm.batches import pieces, resident
+from millwright.llm.batches import pieces, resident, vacate
 from millwright.store import cut
 
 CAPACITY = 2048
@@ -221,6 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     schema = T.StructType([*ranked.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
+        vacate()
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("length", "_rank"))
             found = slots.value.find(length, rank) if len(length) else (np.zeros(0, np.int64),) * 2

@@ -11,6 +11,7 @@ its vector's product with the difference of the class weights: ``BUCKETS + PAIRS
 workers.
 """
 
+import uuid
 import zlib
 from array import array
 from collections import Counter
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.batches import map_texts
+from millwright.llm.batches import apart, map_texts, together
 from millwright.llm.labelled import held_out, sample
 
 #: buckets of words and their character n-grams, and of word bigrams
@@ -225,7 +226,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
         known = _Words(m.scores)
         return lambda texts: {name: scores(m, known, texts)}
 
-    return map_texts(docs, text, make, [T.StructField(name, T.DoubleType())], keep_text)
+    return map_texts(docs, text, make, [T.StructField(name, T.DoubleType())], keep_text, f"classifier {uuid.uuid4().hex}")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), threshold: float = 0.7) -> DataFrame:
@@ -243,5 +244,4 @@ def classify(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2),
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held: tuple[int, int] = (4, 2)) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their columns and no others."""
     model = fit(docs, labels, held=held)
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    return with_score(inner, model, "_text", "_score").where(F.col("_score") >= threshold).select("_row.*")
+    return with_score(apart(docs), model, "_text", "_score", True).where(F.col("_score") >= threshold).select(*together(docs.columns))

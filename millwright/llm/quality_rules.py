@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.batches import map_texts
+from millwright.llm.batches import apart, map_texts, together
 from millwright.store import cut
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,6 +157,5 @@ def rule_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5) ->
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns and no others."""
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    table = cut(with_facts(inner, "_text"), "quality-kept")
-    return judge(table).where(~base_failed() & (F.col("p_quality") >= threshold)).select("_row.*")
+    table = cut(with_facts(apart(docs, text), "_text", True), "quality-kept")
+    return judge(table).where(~base_failed() & (F.col("p_quality") >= threshold)).select(*together(docs.columns, text))
