@@ -2,10 +2,10 @@
 
 Rules find e-mail and network addresses, card and phone numbers. High-recall generators propose spans of
 the same kinds in wider spellings ("name [at] host [dot] org", "10[.]0[.]0[.]1", cards with other
-separators, phones without a plus), which may overlap. Boosted trees, one forest a kind, learn from a
-sample to tell the rules' own spans from other candidates: they see the format of the normalized value and the
+separators, phones without a plus), which may overlap. Boosted trees, one forest a kind, learn from all
+documents to tell the rules' own spans from other candidates: they see the format of the normalized value and the
 context, but not what the rule decides by (checksum, range, plus sign, the spelling of @ and dot). A candidate
-clear of all rules' spans is added if its score reaches the kind's threshold, set on held-out rows
+clear of all rules' spans is added if its score reaches the kind's threshold, set by forests that didn't see the row
 so that nearly all above it are the rules' own; of overlapping additions the better scored stays.
 
 Everything is Column expressions; a document's spans are made in its own row, and no text is shuffled. Places
@@ -192,33 +192,37 @@ class Model:
 
 
 def vectors(docs: DataFrame, text: str) -> DataFrame:
-    """(k, features, held, n, y): distinct descriptions of the rules' spans (label 1) and of other candidates (label 0)."""
+    """(k, features, half, n, y): distinct descriptions of the rules' spans (label 1) and of other candidates (label 0)."""
     made = proposed(docs, text)
     t = F.coalesce(F.col(text), F.lit(""))
     own = all_described({k: ruled(t, k) for k in KINDS})
-    rows = made.select("_held_out", F.explode(F.array(F.struct(F.lit(1).alias("y"), own.alias("of")), F.struct(F.lit(0).alias("y"), F.col("_wide").alias("of")))).alias("p"))
-    rows = rows.select("_held_out", F.col("p.y").alias("y"), F.explode("p.of").alias("c"))
-    return rows.groupBy(F.col("_held_out").alias("held"), "c.k", *[f"c.{f}" for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    rows = made.select("_half", F.explode(F.array(F.struct(F.lit(1).alias("y"), own.alias("of")), F.struct(F.lit(0).alias("y"), F.col("_wide").alias("of")))).alias("p"))
+    rows = rows.select("_half", F.col("p.y").alias("y"), F.explode("p.of").alias("c"))
+    return rows.groupBy(F.col("_half").alias("half"), "c.k", *[f"c.{f}" for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = 10_000, precision: float = 0.9, **grow) -> Model:
-    """A model from about ``sample`` of the documents that hold any candidate, all of them if there are no more, drawn by a
-    hash of the text and what else is in the row.
+def learn(docs: DataFrame, text: str = "text", sample: int | None = None, precision: float = 0.9, **grow) -> Model:
+    """A model from all documents that hold any candidate; with ``sample``, from about so many of them, drawn by a hash
+    of the text and what else is in the row.
 
-    A fifth of these, again by hash, doesn't train and sets the thresholds. A kind without both
-    labels, or that reaches no ``precision``, gets no threshold, and nothing is added for it.
+    Forests grow on either half of the documents, parted by a hash of the text, and on all of them. The halves' forests
+    score each other's documents, and these scores, of all documents, set the thresholds of the last ones. A kind without
+    both labels in either half, or that reaches no ``precision``, gets no threshold, and nothing is added for it.
     """
     some = docs.where(F.col(text).rlike(ANY))
-    share = sample / max(sample, some.count())
-    drawn = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 40))
-    picked = some.where(drawn < int(share * (1 << 40))).withColumn("_held_out", F.pmod(F.xxhash64(text, F.lit("fold")), F.lit(5)) == 0)
-    told = Cut(vectors(picked, text), "pii-vectors")
-    forests = boosting.fit(told.df.where("not held"), "k", list(FEATURES), **grow)
-    tests = told.df.where("held").where(F.col("k").isin(list(forests)))
-    margins = " ".join(f"when {k} then {m.margin(list(FEATURES))}" for k, m in forests.items())
-    thresholds = boosting.threshold(tests.withColumn("_m", F.expr(f"case k {margins} end")), "k", "_m", precision) if forests else {}
+    if sample:
+        share = sample / max(sample, some.count())
+        some = some.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 40)) < int(share * (1 << 40)))
+    told = Cut(vectors(some.withColumn("_half", F.pmod(F.xxhash64(text, F.lit("fold")), F.lit(2)).cast("int")), text), "pii-vectors")
+    # groups of a kind: 3 k and 3 k + 1 for its halves, 3 k + 2 for both
+    grown = told.df.withColumn("g", F.explode(F.array(F.col("k") * 3 + F.col("half"), F.col("k") * 3 + 2)))
+    forests = boosting.fit(grown, "g", list(FEATURES), **grow)
+    kinds = [k for k in range(len(KINDS)) if all(g in forests and forests[g].trees for g in range(3 * k, 3 * k + 3))]
+    margins = " ".join(f"when {3 * k + half} then {forests[3 * k + half].margin(list(FEATURES))}" for k in kinds for half in (0, 1))
+    tests = told.df.where(F.col("k").isin(kinds))
+    thresholds = boosting.threshold(tests.withColumn("_m", F.expr(f"case k * 3 + 1 - half {margins} end")), "k", "_m", precision) if kinds else {}
     told.drop()
-    return Model(forests, {k: v for k, v in thresholds.items() if forests[k].trees})
+    return Model({k: forests[3 * k + 2] for k in kinds}, thresholds)
 
 
 def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

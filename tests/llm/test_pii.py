@@ -165,6 +165,18 @@ def test_empty_tables(spark, model):
     assert pii.digests(pii.find(spark.createDataFrame([(1, "a@b.cc")], "doc_id long, text string"), pii.learn(none))).first().spans == "email:0:6"
 
 
+def test_all_documents_teach_and_set_thresholds(spark, monkeypatch):
+    texts = [t for i in range(6_000) for t in (f"mail u{i}@host.org now", f"host 1.2.3.{i} up")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    read, told, make, low = [], [], pii.vectors, boosting.threshold
+    monkeypatch.setattr(pii, "vectors", lambda d, text: read.append(d.count()) or make(d, text))
+    monkeypatch.setattr(boosting, "threshold", lambda d, *rest: told.append((d.agg(F.sum("n")).first()[0], d.where("_m is null").count())) or low(d, *rest))
+    model = pii.learn(docs, trees=2)
+    assert read == [12_000]  # and no 10,000 of them
+    assert told == [(6_000, 0)]  # every address, not a part; e-mails have one label only
+    assert set(model.forests) == {pii.KINDS.index("ip")}
+
+
 def test_redacted(spark, model):
     docs = spark.createDataFrame([(1, "é x@y.zz, 10.0.0.1!"), (2, None), (3, "1.2.3.4@h.com")], "doc_id long, text string")
     got = {r.doc_id: r.t for r in pii.find(docs, model).select("doc_id", pii.redacted().alias("t")).collect()}
