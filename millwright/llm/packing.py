@@ -24,7 +24,7 @@ from millwright.store import cut
 CAPACITY = 2048
 END_ID = 0
 MAX_WORDS = 600_000  # words and pre-tokens that a worker keeps; a matter of memory, not of results
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
