@@ -110,3 +110,29 @@ def test_stage_returns_the_columns(spark):
     got = repeats.remove_repeats(docs)
     assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
     assert {r.doc_id: (r.text, r.lang, r.n_chars) for r in got.collect()} == {1: ("one", "en", 3), 2: ("two end", "en", 7), 3: ("", None, 0)}
+
+
+def test_later_rounds_pass_over_texts_without_repeated_anchors(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(14)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    exact, shared, short = prose(SPAN), prose(SPAN), prose(390)  # a text of one window, a string inside texts, one too short
+    texts = [exact, exact, prose(700) + shared + prose(50), shared + prose(900), short + prose(600), prose(600) + short, prose(3000), prose(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    levels, level = {}, repeats.level
+
+    def spy(df, name, known):
+        levels[name] = known
+        return level(df, name, known)
+
+    monkeypatch.setattr(repeats, "level", spy)
+    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removal_digests(docs).orderBy("doc_id").collect()]
+    assert got == brute(texts)
+    assert [g[1] for g in got] == [400, 400, 400, 400, 0, 0, 0, 0]
+    only = repeats.Open()
+    only.texts = levels["windows"].texts
+    scanned = {r._id for r in level(repeats.keyed(docs), "windows", only).select("_id").distinct().collect()}
+    assert {0, 1, 2, 3} <= scanned and not scanned & {6, 7}
+    hashes = np.array([r._hash for r in repeats.keyed(docs).orderBy("_id").collect()]).view(np.uint64)
+    assert {*np.flatnonzero(bitmaps.has(only.texts, hashes)).tolist()} == scanned
