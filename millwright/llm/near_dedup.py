@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.llm.batches import resident, vacate
-from millwright.llm.bitmaps import bitmap, has
+from millwright.llm.bitmaps import bitmap, has, packed, unpacked
 from millwright.llm.components import components
 from millwright.llm.rolling import R, mix
 from millwright.store import Cut, cut
@@ -147,21 +147,22 @@ def _bands(vertices: DataFrame, open_: np.ndarray | None) -> DataFrame:
     """(band, id, v, n) of each vertex and band; with a bitmap only of keys that it holds."""
     import pyarrow as pa
 
-    shared = vertices.sparkSession.sparkContext.broadcast(open_)
+    shared = vertices.sparkSession.sparkContext.broadcast(packed(open_))
     schema = T.StructType([T.StructField("id", T.LongType())] + ([T.StructField("band", T.IntegerType()), T.StructField("v", T.BinaryType()), T.StructField("n", T.LongType())] if open_ is not None else []))
 
     def run(batches):
         vacate()
+        bits = unpacked(shared.value)
         for batch in batches:
             v, n = (batch.column(batch.schema.get_field_index(k)) for k in ("v", "n"))
             raw = batch.column(batch.schema.get_field_index("registers"))
             if not batch.num_rows:
                 continue
             keys = band_keys(np.frombuffer(b"".join(raw.to_pylist()), "<u2").reshape(-1, REGISTERS))
-            if shared.value is None:
+            if bits is None:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], names=schema.names)
                 continue
-            on = has(shared.value, keys.ravel())
+            on = has(bits, keys.ravel())
             at = np.flatnonzero(on)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[on].view(np.int64)), pa.array((at % BANDS).astype(np.int32)), v.take(pa.array(at // BANDS)), n.take(pa.array(at // BANDS))], names=schema.names)
 
@@ -172,15 +173,15 @@ def _full_sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
     """(v, elements), each vertex once, of the texts whose hashes a bitmap holds."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(packed(wanted))
     schema = T.StructType([T.StructField("v", T.BinaryType()), T.StructField("elements", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        given: set[int] = set()
+        given, bits = set(), unpacked(shared.value)
         for batch in batches:
             h = batch.column(batch.schema.get_field_index("h")).to_numpy()
             text = batch.column(batch.schema.get_field_index("text"))
-            at = [i for i in np.flatnonzero(has(shared.value, h.view(np.uint64))).tolist() if text[i].is_valid]
+            at = [i for i in np.flatnonzero(has(bits, h.view(np.uint64))).tolist() if text[i].is_valid]
             for start in range(0, len(at), 500):
                 vs, es = [], []
                 for i in at[start : start + 500]:
@@ -367,19 +368,22 @@ def _candidates(members: DataFrame, vertices: DataFrame, labels: DataFrame, sets
     return ordered.mapInArrow(run, schema)
 
 
-def group_near(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, v, n of every row; v, label of every vertex that is linked with another)."""
-    base = cut(sketches(docs, size), "near-base")
-    vertices = cut(base.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), F.min("h").alias("h")), "near-vertices")
+def group_near(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Cut, DataFrame]:
+    """(doc_id, h, v, n of every row, as a written table; v, label of every vertex that is linked with another)."""
+    base = Cut(sketches(docs, size), "near-base")
+    own_vertices = Cut(base.df.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), F.min("h").alias("h")), "near-vertices")
+    vertices = own_vertices.df
     crowded = bitmap(_bands(vertices, None).groupBy("id").agg(F.count("*").alias("k")).where("k >= 2"), "id")
     maybe = Cut(_bands(vertices, crowded), "near-bands")
     busy = maybe.df.groupBy("id").agg(F.count("*").alias("k")).where("k >= 2").select("id")
-    members = cut(maybe.df.join(busy, "id"), "near-members")
+    own_members = Cut(maybe.df.join(busy, "id"), "near-members")
+    members = own_members.df
     maybe.drop()
     labels = cut(members.select("v", F.col("v").alias("label")).distinct(), "near-labels")
     # one text of each vertex stands for it
     wanted = bitmap(labels.join(vertices.select("v", "h"), "v"), "h")
-    sets = cut(_full_sets(docs, size, wanted), "near-sets")
+    own_sets = Cut(_full_sets(docs, size, wanted), "near-sets")
+    sets = own_sets.df
 
     def joined(labels, links):
         """Components joined by links (a, b) between their labels."""
@@ -398,17 +402,21 @@ def group_near(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataF
     if state["more"] or crowds:
         links = Cut(_candidates(members, vertices, labels, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-links")
         labels = joined(labels, links.df)
-        links.drop()
-    return base.select("doc_id", "h", "v", "n"), labels
+        links.drop(shuffles=False)
+    for done in own_vertices, own_members:
+        done.drop(shuffles=False)
+    own_sets.drop()
+    return base, labels
 
 
-def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _judged(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Cut]:
+    """The rows, and the table that they are made from."""
     base, labels = group_near(docs, size, percent)
-    rows = base.join(labels, "v", "left").withColumn("c", F.coalesce("label", "v"))
+    rows = base.df.select("doc_id", "h", "v", "n").join(labels, "v", "left").withColumn("c", F.coalesce("label", "v"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     least = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first"))
     full = rows.join(least, "c", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return full.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("c").isNull() | (order == F.col("first"))).alias("first"))
+    return full.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("c").isNull() | (order == F.col("first"))).alias("first")), base
 
 
 def with_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -419,7 +427,7 @@ def with_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     has one. Repeated rows are equal sets. Other columns are ignored; an empty table gives an empty
     result.
     """
-    return _judged(docs.select("doc_id", "text"), size, percent).drop("h", "first")
+    return _judged(docs.select("doc_id", "text"), size, percent)[0].drop("h", "first")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -428,7 +436,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Of repeated rows one stays.
     """
-    kept = cut(_judged(docs.select("doc_id", "text"), size, percent).where("first").groupBy("doc_id", "h").agg(F.count("*").alias("_rows")), "near-kept")
+    judged, base = _judged(docs.select("doc_id", "text"), size, percent)
+    kept = cut(judged.where("first").groupBy("doc_id", "h").agg(F.count("*").alias("_rows")), "near-kept")
+    base.drop()
     kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_hash"), "_rows")
     found = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_hash")))
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from millwright import store
 from millwright.llm import near_dedup as nd
 
 
@@ -90,3 +91,16 @@ def test_keep_one_keeps_one_row_without_ids(spark):
     kept = [(r.doc_id, r.text) for r in nd.keep_one(docs).collect()]
     assert len([x for x in kept if x in rows[:3]]) == 1
     assert len([x for x in kept if x in rows[3:5]]) == 1
+
+
+def test_keep_one_leaves_only_what_its_rows_are_read_from(spark):
+    def tables():
+        fs, path = store._path(spark, f"{store.shared_dir(spark)}/millwright")
+        return {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
+
+    before = tables()
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    kept = nd.keep_one(docs, 4, 80)
+    left = {t.rsplit("-", 1)[0] for t in tables() - before}
+    assert "near-kept" in left and not left & {"near-base", "near-vertices", "near-bands", "near-members", "near-sets", "near-named", "near-links"}
+    assert kept.count() > 12

@@ -1,7 +1,9 @@
 import hashlib
+import pickle
 import random
 from collections import Counter
 
+import numpy as np
 from millwright.llm import bitmaps, repeats
 
 SPAN = repeats.SPAN
@@ -136,3 +138,13 @@ def test_later_rounds_pass_over_texts_without_repeated_anchors(spark, monkeypatc
     assert {0, 1, 2, 3} <= scanned and not scanned & {6, 7}
     hashes = np.array([r._hash for r in repeats.keyed(docs).orderBy("_id").collect()]).view(np.uint64)
     assert {*np.flatnonzero(bitmaps.has(only.texts, hashes)).tolist()} == scanned
+
+
+def test_what_is_open_travels_in_a_few_bytes():
+    known = repeats.Open()
+    known.grams, known.texts = np.zeros(bitmaps.WORDS, np.uint64), np.random.default_rng(2).integers(0, 1 << 63, bitmaps.WORDS, np.uint64)
+    known.grams[5] = 3
+    sent = pickle.dumps(known)
+    assert len(sent) < 9 * bitmaps.WORDS
+    again = pickle.loads(sent)
+    assert (again.grams == known.grams).all() and (again.texts == known.texts).all() and again.commons is None
