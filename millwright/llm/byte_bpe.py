@@ -182,6 +182,20 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), starts)
 
 
+def occurrences(held: list[np.ndarray], n: int) -> np.ndarray:
+    """How often each of ``n`` numbers occurs in all arrays, in work that follows their lengths: some ``n`` places are
+    counted at a time, as a count costs ``n`` however few there are."""
+    often = np.zeros(n, np.int64)
+    some, places = [], 0
+    for numbers in held:
+        some.append(numbers)
+        places += len(numbers)
+        if places >= n:
+            often += np.bincount(np.concatenate(some), minlength=n)
+            some, places = [], 0
+    return often + np.bincount(np.concatenate(some), minlength=n) if some else often
+
+
 BLOCKS = T.StructType(
     [
         T.StructField("block", T.LongType()),
@@ -202,9 +216,7 @@ def _blocks(docs: DataFrame, shards: int, pattern: str, kinds: str = "words docu
 
     def rows_of(name, ids, held, distinct):
         block = name.intdigest() - (1 << 63)
-        often = np.zeros(len(distinct), np.int64)
-        for numbers in held:
-            often += np.bincount(numbers, minlength=len(distinct))
+        often = occurrences(held, len(distinct))
         by_count = np.argsort(-often, kind="stable")  # positions use small numbers for frequent words
         new = np.empty(len(distinct), np.int64)
         new[by_count] = np.arange(len(distinct))

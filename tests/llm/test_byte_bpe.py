@@ -90,3 +90,15 @@ def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
     assert shards == {None, *range(8)}
     monkeypatch.setattr(bb, "MAX_WORDS", 3)
     assert sorted(tuple(r) for r in bb.encode_decode(docs, RANKS, P.PATTERN).collect()) == want
+
+
+def test_counts_of_words_follow_the_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    held = [rng.integers(0, 3000, rng.integers(0, 60)).astype(t) for _ in range(2000) for t in (np.int32, np.int64)]
+    want = np.bincount(np.concatenate(held), minlength=3100)
+    made = []
+    counted = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, minlength: made.append(minlength) or counted(x, minlength=minlength))
+    assert (bb.occurrences(held, 3100) == want).all()
+    assert sum(made) <= 2 * sum(map(len, held)) + 3100
+    assert bb.occurrences([], 3).tolist() == [0, 0, 0] and len(bb.occurrences([np.zeros(0, np.int32)], 0)) == 0
